@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import labels, lines, records, tokens
+from . import binpack, labels, lines, mix, overlap, pages, records, tokens
 
 
 def _budget_slices(spark: SparkSession, d: str) -> DataFrame:
@@ -33,13 +33,22 @@ def p1_observed(spark: SparkSession, d: str) -> DataFrame:
     return slices.groupBy("source", "language", "domain").agg(F.count(F.lit(1)).alias("documents"), F.sum("observed").alias("observed"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.surroundings(table(spark, d, "wackywacky"))
+
+
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    stored = table(spark, d, "wackywacky")
+    return lines.without_lines(stored, pages.surroundings(stored))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(table(spark, d, "wackywacky"))
 
 
 def p3_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "wackywacky")
-    return lines.without_lines(pages, lines.repeated_lines(pages))
+    stored = table(spark, d, "wackywacky")
+    return lines.without_lines(stored, lines.repeated_lines(stored))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,12 +59,45 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return records.records(records.refined(table(spark, d, "wackywacky")))
 
 
+def p5_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return binpack.assign(table(spark, d, "tokenized_document"))
+
+
+def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return binpack.sequences(table(spark, d, "tokenized_document"))
+
+
+def _overlaps(spark: SparkSession, d: str) -> overlap.Overlaps:
+    return overlap.Overlaps(overlap.with_splits(table(spark, d, "documents"), table(spark, d, "tokenized_document")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).document_pairs().select("doc_id_a", "doc_id_b")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).report()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"), "text", ["doc_id"])
 
 
+def _mixes(spark: SparkSession, d: str) -> mix.Mixes:
+    documents = table(spark, d, "documents").select("doc_id", "text", "source", labels.language(F.col("lang")).alias("language"), F.coalesce("dataset_id", F.lit("unknown")).alias("topic"))
+    return mix.Mixes(tokens.count_tokens(documents, "text", ["doc_id", "source", "language", "topic"]), table(spark, d, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixes(spark, d).uses()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixes(spark, d).shares()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_token_budget, p1_observed, p3_found, p3_pages, p4_found, p4_records, p7_ids)}
+    return {f.__name__: f for f in (p1_token_budget, p1_observed, p2_found, p2_pages, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
