@@ -4,8 +4,8 @@ Two documents overlap if the runs of ``width`` successive words that both hold m
 at least the share ``threshold`` of the runs that at least one of them holds.  Found by an
 exact bipartite prefix join: in one total order of all runs, rare ones first, two
 sets of that similarity must meet within a prefix of each, so only prefixes are
-indexed (evaluation) and probed (training); length and position bounds drop most of
-what meets, and the rest is verified on the whole sets.
+indexed (evaluation) and probed (training); bounds from the lengths, and from the places
+where the prefixes end, drop most of what meets, and the rest is verified on the whole sets.
 
 The order comes from a sketch of fixed size that counts the runs of the evaluation
 split.  A run whose entry is zero occurs in no evaluation document, comes first in the
@@ -39,6 +39,8 @@ _MARKS = re.compile("[̀-ͯ҃-҉֑-ֽؐ-ًؚ-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 WORD_MEMO = 1 << 18
 #: Parts into which the members of one class are spread when pairs are written out.
 SALTS = 64
+#: Ids of documents to be verified are broadcast up to this number (8 MB).
+BROADCAST_IDS = 1_000_000
 
 
 class _WordHashes(dict):
@@ -110,33 +112,35 @@ def _evaluation_runs(documents: DataFrame, width: int, min_words: int) -> DataFr
 
 
 def _prefixes(documents: DataFrame, frequency: np.ndarray, bits: int, width: int, min_words: int, threshold: float) -> DataFrame:
-    """(doc_id, split, source, a, b, size, h, at): class, number of runs and, of its
-    prefix, the runs that may occur in the evaluation split with their places."""
+    """(doc_id, split, source, a, b, size, last, unseen, h): class, number of runs, rank in
+    the order of the prefix's last run, runs that are surely in no evaluation document and,
+    of the prefix, the others, which follow them."""
     held = documents.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches):
         known = held.value
         for batch in batches:
-            places, keys, sizes, prefix, at = [], [], [], [], []
+            places, keys, sizes, prefix, last, absent = [], [], [], [], [], []
             for i, runs in _sets(batch, 3, width, min_words):
                 counts = known[sketch.bucket_of(runs, bits)]
                 take = prefix_length(len(runs), threshold)
                 unseen = int((counts == 0).sum())
-                order = np.argsort(counts, kind="stable")[unseen:take] if unseen < take else np.empty(0, np.int64)
+                order = np.argsort(counts, kind="stable")[:take]
+                last.append(int(counts[order[-1]]) << 55 | int(runs[order[-1]]) >> 9)
                 places.append(i)
                 digest = xxhash.xxh3_128_digest(runs.tobytes())
                 keys.append(np.frombuffer(digest, "<i8"))
                 sizes.append(len(runs))
-                prefix.append(runs[order].view(np.int64))
-                at.append(np.arange(unseen, unseen + len(order), dtype=np.int32))
+                absent.append(unseen)
+                prefix.append(runs[order[unseen:]].view(np.int64))
             keys = np.array(keys, np.int64).reshape(-1, 2)
             chosen = batch.take(pa.array(places, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*chosen.columns[:3], pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), _lists(prefix, pa.int64()), _lists(at, pa.int32())],
-                names=["doc_id", "split", "source", "a", "b", "size", "h", "at"],
+                [*chosen.columns[:3], pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), pa.array(last, pa.int64()), pa.array(absent, pa.int32()), _lists(prefix, pa.int64())],
+                names=["doc_id", "split", "source", "a", "b", "size", "last", "unseen", "h"],
             )
 
-    return documents.select("doc_id", "split", "source", "text").mapInArrow(run, "doc_id bigint, split string, source string, a bigint, b bigint, size int, h array<bigint>, at array<int>")
+    return documents.select("doc_id", "split", "source", "text").mapInArrow(run, "doc_id bigint, split string, source string, a bigint, b bigint, size int, last bigint, unseen int, h array<bigint>")
 
 
 def _whole_sets(documents: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -165,32 +169,53 @@ class Overlaps:
         frequency = sketch.counts(_evaluation_runs(documents, width, min_words), "h", bits)
         prefixes = written(_prefixes(documents, frequency, bits, width, min_words, threshold), "overlap-prefixes")
         self.members = prefixes.select("doc_id", "split", "source", "a", "b").distinct()
-        candidates = self._candidates(prefixes, threshold)
-        self.pairs = written(self._verified(candidates, documents, width, min_words, threshold), "overlap-pairs")
+        pairs = self._verified(self._candidates(prefixes, threshold), documents, width, min_words, threshold)
+        for side, split in (("x", "eval"), ("y", "train")):
+            classes = self.members.filter(F.col("split") == split).select(F.col("doc_id").alias(f"{side}_doc"), F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b")).dropDuplicates([f"{side}_doc"])
+            pairs = pairs.join(classes, f"{side}_doc")
+        self.pairs = written(pairs.drop("x_doc", "y_doc"), "overlap-pairs")
 
     @staticmethod
     def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-        classes = prefixes.filter(F.size("h") > 0).groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("h").alias("h"), F.first("at").alias("at"))
-        entries = classes.select("split", "a", "b", "doc", "size", F.explode(F.arrays_zip("h", "at")).alias("e")).select("split", "a", "b", "doc", "size", "e.h", "e.at")
-        x = entries.filter("split = 'eval'").select("h", *(F.col(c).alias(f"x_{c}") for c in ("a", "b", "doc", "size", "at")))
-        y = entries.filter("split = 'train'").select("h", *(F.col(c).alias(f"y_{c}") for c in ("a", "b", "doc", "size", "at")))
-        needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x_size") + F.col("y_size")) - 1e-9)
-        close = (F.col("x_size") >= F.lit(threshold) * F.col("y_size") - 1e-9) & (F.col("y_size") >= F.lit(threshold) * F.col("x_size") - 1e-9)
-        reach = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at")) >= needed
-        met = x.join(y, "h").filter(close & reach)
-        return met.select("x_a", "x_b", "x_doc", "y_a", "y_b", "y_doc").distinct()
+        classes = prefixes.filter(F.size("h") > 0).groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("size", "last", "unseen", "h")))
+        entries = classes.select("split", "doc", "size", "last", "unseen", F.posexplode("h").alias("at", "h"))
+        # size and place share a column, as there is a row for every run of every prefix
+        entries = entries.select("split", "doc", "last", "h", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("unseen") + F.col("at")).cast("bigint")).alias("place"))
+        x = entries.filter("split = 'eval'").select("h", *(F.col(c).alias(f"x_{c}") for c in ("doc", "last", "place")))
+        y = entries.filter("split = 'train'").select("h", *(F.col(c).alias(f"y_{c}") for c in ("doc", "last", "place")))
+
+        def size(side: str):
+            return F.shiftright(f"{side}_place", 32)
+
+        close = (size("x") >= F.lit(threshold) * size("y") - 1e-9) & (size("y") >= F.lit(threshold) * size("x") - 1e-9)
+        pairs = x.join(y, "h").filter(close).groupBy("x_doc", "y_doc", "x_last", "y_last").agg(F.count(F.lit(1)).alias("met"), F.max("x_place").alias("x_place"), F.max("y_place").alias("y_place"))
+        needed = F.ceil(F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9)
+
+        def behind_prefix(side: str):
+            return F.ceil(F.lit(threshold) * size(side) - 1e-9) - 1
+
+        def behind_last(side: str):
+            return size(side) - F.col(f"{side}_place").bitwiseAND(F.lit(0xFFFFFFFF)) - 1
+
+        # a common run before the end of the prefix that ends first lies in both prefixes and is
+        # counted, so that set shares no more than those and what it has behind its prefix; and
+        # neither set shares more than those and what it has behind the last of them
+        ends = F.when(F.col("x_last") < F.col("y_last"), behind_prefix("x")).when(F.col("y_last") < F.col("x_last"), behind_prefix("y")).otherwise(F.greatest(behind_prefix("x"), behind_prefix("y")))
+        most = F.col("met") + F.least(ends, behind_last("x"), behind_last("y"))
+        return pairs.filter(most >= needed).select("x_doc", "y_doc")
 
     @staticmethod
     def _verified(candidates: DataFrame, documents: DataFrame, width: int, min_words: int, threshold: float) -> DataFrame:
         candidates = written(candidates, "overlap-candidates")
-        wanted = candidates.select(F.col("x_doc").alias("doc_id")).union(candidates.select("y_doc")).distinct()
-        texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        wanted = written(candidates.select(F.col("x_doc").alias("doc_id")).union(candidates.select("y_doc")).distinct(), "overlap-wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        texts = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         sets = written(_whole_sets(texts, width, min_words), "overlap-sets")
         x = sets.select(F.col("doc_id").alias("x_doc"), F.col("runs").alias("x_runs"))
         y = sets.select(F.col("doc_id").alias("y_doc"), F.col("runs").alias("y_runs"))
         both = candidates.join(x, "x_doc").join(y, "y_doc").withColumn("common", F.size(F.array_intersect("x_runs", "y_runs")))
         union = F.size("x_runs") + F.size("y_runs") - F.col("common")
-        return both.filter(F.col("common") >= F.lit(threshold) * union - 1e-9).select("x_a", "x_b", "y_a", "y_b", (F.col("common") / union).alias("similarity"))
+        return both.filter(F.col("common") >= F.lit(threshold) * union - 1e-9).select("x_doc", "y_doc", (F.col("common") / union).alias("similarity"))
 
     def _spread(self, split: str, side: str) -> DataFrame:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias(f"{side}_salt")
