@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import binpack, labels, lines, mix, overlap, pages, records, tokens
+from . import abuse, binpack, labels, lines, mix, overlap, pages, records, tokens
 
 
 def _budget_slices(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +96,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixes(spark, d).shares()
 
 
+def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = abuse.fitted(documents, table(spark, d, "content_label"))
+    return abuse.scored(documents, model, ["doc_id", "source"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d).filter(F.col("score") >= abuse.FOUND).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    rates = _abuse_scores(spark, d).groupBy(labels.source(F.col("source")).alias("source"))
+    return rates.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("score") >= abuse.FOUND).alias("found"), F.avg("score").alias("mean_score")).withColumn("rate", F.col("found") / F.col("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_token_budget, p1_observed, p2_found, p2_pages, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_token_budget, p1_observed, p2_found, p2_pages, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
