@@ -4,8 +4,8 @@ Two documents overlap if the runs of ``width`` successive words that both hold m
 at least the share ``threshold`` of the runs that at least one of them holds.  Found by an
 exact bipartite prefix join: in one total order of all runs, rare ones first, two
 sets of that similarity must meet within a prefix of each, so only prefixes are
-indexed (evaluation) and probed (training); bounds from the lengths, and from the places
-where the prefixes end, drop most of what meets, and the rest is verified on the whole sets.
+indexed (evaluation) and probed (training); bounds from lengths, places in the
+prefixes and small bitmaps drop most of what meets, and the rest is verified on whole sets.
 
 The order comes from a sketch of fixed size that counts the runs of the evaluation
 split.  A run whose entry is zero occurs in no evaluation document, comes first in the
@@ -25,7 +25,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix64
@@ -43,6 +43,9 @@ SALTS = 64
 BROADCAST_IDS = 1_000_000
 
 
+_MAPS = [f"m{k}" for k in range(8)]
+
+
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= WORD_MEMO:
@@ -112,21 +115,21 @@ def _evaluation_runs(documents: DataFrame, width: int, min_words: int) -> DataFr
 
 
 def _prefixes(documents: DataFrame, frequency: np.ndarray, bits: int, width: int, min_words: int, threshold: float) -> DataFrame:
-    """(doc_id, split, source, a, b, size, last, unseen, h): class, number of runs, rank in
-    the order of the prefix's last run, runs that are surely in no evaluation document and,
-    of the prefix, the others, which follow them."""
+    """(doc_id, split, source, a, b, size, unseen, m0 to m7, h): class, number of runs, how
+    many are surely in no evaluation document, parities of the runs by their last nine
+    bits and, of the prefix, the runs behind the unseen ones."""
     held = documents.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches):
         known = held.value
         for batch in batches:
-            places, keys, sizes, prefix, last, absent = [], [], [], [], [], []
+            places, keys, sizes, prefix, parity, absent = [], [], [], [], [], []
             for i, runs in _sets(batch, 3, width, min_words):
                 counts = known[sketch.bucket_of(runs, bits)]
                 take = prefix_length(len(runs), threshold)
                 unseen = int((counts == 0).sum())
                 order = np.argsort(counts, kind="stable")[:take]
-                last.append(int(counts[order[-1]]) << 55 | int(runs[order[-1]]) >> 9)
+                parity.append(np.packbits(np.bincount((runs & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1))
                 places.append(i)
                 digest = xxhash.xxh3_128_digest(runs.tobytes())
                 keys.append(np.frombuffer(digest, "<i8"))
@@ -134,13 +137,14 @@ def _prefixes(documents: DataFrame, frequency: np.ndarray, bits: int, width: int
                 absent.append(unseen)
                 prefix.append(runs[order[unseen:]].view(np.int64))
             keys = np.array(keys, np.int64).reshape(-1, 2)
+            maps = np.array(parity, np.uint8).reshape(-1, 64).view(np.int64)
             chosen = batch.take(pa.array(places, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*chosen.columns[:3], pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), pa.array(last, pa.int64()), pa.array(absent, pa.int32()), _lists(prefix, pa.int64())],
-                names=["doc_id", "split", "source", "a", "b", "size", "last", "unseen", "h"],
+                [*chosen.columns[:3], pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), pa.array(absent, pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(8)), _lists(prefix, pa.int64())],
+                names=["doc_id", "split", "source", "a", "b", "size", "unseen", *_MAPS, "h"],
             )
 
-    return documents.select("doc_id", "split", "source", "text").mapInArrow(run, "doc_id bigint, split string, source string, a bigint, b bigint, size int, last bigint, unseen int, h array<bigint>")
+    return documents.select("doc_id", "split", "source", "text").mapInArrow(run, "doc_id bigint, split string, source string, a bigint, b bigint, size int, unseen int, " + ", ".join(f"{m} bigint" for m in _MAPS) + ", h array<bigint>")
 
 
 def _whole_sets(documents: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -177,32 +181,30 @@ class Overlaps:
 
     @staticmethod
     def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-        classes = prefixes.filter(F.size("h") > 0).groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("size", "last", "unseen", "h")))
-        entries = classes.select("split", "doc", "size", "last", "unseen", F.posexplode("h").alias("at", "h"))
+        classes = prefixes.filter(F.size("h") > 0).groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("size", "unseen", "h")))
+        entries = classes.select("split", "doc", "size", "unseen", F.posexplode("h").alias("at", "h"))
         # size and place share a column, as there is a row for every run of every prefix
-        entries = entries.select("split", "doc", "last", "h", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("unseen") + F.col("at")).cast("bigint")).alias("place"))
-        x = entries.filter("split = 'eval'").select("h", *(F.col(c).alias(f"x_{c}") for c in ("doc", "last", "place")))
-        y = entries.filter("split = 'train'").select("h", *(F.col(c).alias(f"y_{c}") for c in ("doc", "last", "place")))
-
-        def size(side: str):
-            return F.shiftright(f"{side}_place", 32)
-
-        close = (size("x") >= F.lit(threshold) * size("y") - 1e-9) & (size("y") >= F.lit(threshold) * size("x") - 1e-9)
-        pairs = x.join(y, "h").filter(close).groupBy("x_doc", "y_doc", "x_last", "y_last").agg(F.count(F.lit(1)).alias("met"), F.max("x_place").alias("x_place"), F.max("y_place").alias("y_place"))
-        needed = F.ceil(F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9)
-
-        def behind_prefix(side: str):
-            return F.ceil(F.lit(threshold) * size(side) - 1e-9) - 1
-
-        def behind_last(side: str):
-            return size(side) - F.col(f"{side}_place").bitwiseAND(F.lit(0xFFFFFFFF)) - 1
-
-        # a common run before the end of the prefix that ends first lies in both prefixes and is
-        # counted, so that set shares no more than those and what it has behind its prefix; and
-        # neither set shares more than those and what it has behind the last of them
-        ends = F.when(F.col("x_last") < F.col("y_last"), behind_prefix("x")).when(F.col("y_last") < F.col("x_last"), behind_prefix("y")).otherwise(F.greatest(behind_prefix("x"), behind_prefix("y")))
-        most = F.col("met") + F.least(ends, behind_last("x"), behind_last("y"))
-        return pairs.filter(most >= needed).select("x_doc", "y_doc")
+        entries = entries.select("split", "doc", "h", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("unseen") + F.col("at")).cast("bigint")).alias("place"))
+
+        def needed(x: Column, y: Column) -> Column:
+            return F.ceil(F.lit(threshold / (1 + threshold)) * (x + y) - 1e-9)
+
+        # so long as either set has so many runs from the common one on, the prefixes that
+        # these two sizes need hold it: sets that are similar enough meet so at least once
+        x = entries.filter("split = 'eval'").select("h", F.col("doc").alias("x_doc"), F.col("place").alias("x_place"))
+        y = entries.filter("split = 'train'").select("h", F.col("doc").alias("y_doc"), F.col("place").alias("y_place"))
+        sizes = F.shiftright("x_place", 32), F.shiftright("y_place", 32)
+        close = (sizes[0] >= F.lit(threshold) * sizes[1] - 1e-9) & (sizes[1] >= F.lit(threshold) * sizes[0] - 1e-9)
+        left = (size - F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)) for size, p in zip(sizes, ("x_place", "y_place")))
+        met = x.join(y, "h").filter(close & (F.least(*left) >= needed(*sizes))).select("x_doc", "y_doc").distinct()
+
+        # a run of one set only turns the parity of its entry: as many entries differ, so many
+        # runs at least are not common
+        for side, split in (("x", "eval"), ("y", "train")):
+            own = prefixes.filter((F.col("split") == split) & (F.size("h") > 0)).dropDuplicates(["doc_id"])
+            met = met.join(own.select(F.col("doc_id").alias(f"{side}_doc"), F.col("size").alias(f"{side}_size"), *(F.col(m).alias(f"{side}_{m}") for m in _MAPS)), f"{side}_doc")
+        apart = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in _MAPS), F.lit(0))
+        return met.filter((F.col("x_size") + F.col("y_size") - apart) / 2 >= needed(F.col("x_size"), F.col("y_size"))).select("x_doc", "y_doc")
 
     @staticmethod
     def _verified(candidates: DataFrame, documents: DataFrame, width: int, min_words: int, threshold: float) -> DataFrame:
