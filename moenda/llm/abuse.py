@@ -68,14 +68,14 @@ _MIXED = re.compile(r"[a-z][0-9$@]|[0-9$@][a-z]")
 _END = re.compile(r"[.!?…]+[\"”')]*\Z")
 
 #: Score from which a document counts as found.
-FOUND = 0.5
+FOUND = 0.4
 #: Words of a window; longer sentences are seen in overlapping windows.
 WINDOW, STEP = 16, 8
 #: Bits of the table of n-gram weights; its last entries belong to the voters.
 FEATURE_BITS = 18
 TOKEN_MEMO = 1 << 18
 #: Importance of a sentence of a document that nobody judged, against one that somebody did.
-UNJUDGED = 0.2
+UNJUDGED = 0.3
 
 _FOR = sum(1 << k for k, v in enumerate(VOTERS) if v not in AGAINST)
 _COMPILED = [re.compile(p) for p in PATTERNS.values()]
