@@ -30,3 +30,14 @@ def mix64(values: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def stable_hash(*parts):
+    """SHA-256 hex of the parts as strings, joined by the unit separator.
+
+    A null part counts as an empty one, so that the number of parts stays the same.
+    """
+    from pyspark.sql import functions as F
+
+    columns = [F.coalesce((p if hasattr(p, "cast") else F.lit(str(p))).cast("string"), F.lit("")) for p in parts]
+    return F.sha2(F.concat_ws("\x1f", *columns), 256)

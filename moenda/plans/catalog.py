@@ -1,6 +1,148 @@
-def queries():
-    return {}
+"""Queries of the library and, where SQL can say it, SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import queries as q
+
+SEED, L = q.SEED, 1024
+
+
+def _h(*parts: str) -> str:
+    return f"sha256(concat_ws(chr(31), {', '.join(parts)}))"
+
+
+def _clean(column: str, policy: str = "preserve") -> str:
+    x = f"regexp_replace(nfc_normalize({column}), '\\r\\n?', chr(10), 'g')"
+    x = f"regexp_replace({x}, '[\\x01-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g')"
+    x = f"regexp_replace({x}, '[\\t\\p{{Z}}]+', ' ', 'g')"
+    x = f"regexp_replace({x}, ' ?\\n ?', chr(10), 'g')"
+    x = f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    if policy != "preserve":
+        for pattern, to in ((" +([,.])", "\\1"), ("(\\() +", "\\1"), (" +(\\))", "\\1")):
+            x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return f"regexp_replace({x}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _paragraphs(column: str) -> str:
+    lines = "list_filter(list_transform(string_split(p, chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\p{Z}]+', ' ', 'g'))), lambda x: x <> '')"
+    return f"list_filter(list_transform(regexp_split_to_array({column}, '\\n\\s*\\n+'), lambda p: {lines}), lambda p: len(p) > 0)"
+
+
+CLEAN = f"""clean AS (SELECT * FROM (SELECT doc_id, coalesce(dataset_id, 'unknown') AS dataset_id, sha256(source_ref) AS source_hash, {_clean("text")} AS text
+FROM documents) WHERE text <> '')"""
+FIRST = f"""{CLEAN},
+kept AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY dataset_id, sha256(text) ORDER BY doc_id) = 1)"""
+RECORDS = f"""{FIRST},
+records AS (SELECT dataset_id, source_hash, text, CAST(length(text) + 1 AS BIGINT) AS n FROM kept)"""
+SPLIT = f"""{RECORDS},
+scored AS (SELECT *, {_h(f"'{SEED}'", "dataset_id", "'split'", "source_hash")} AS split_score FROM records),
+split AS (SELECT *, CASE WHEN coalesce(sum(n) OVER (PARTITION BY dataset_id ORDER BY split_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {q.EVAL_SEQUENCES * L} THEN 'eval' ELSE 'train' END AS split FROM scored)"""
+PIECES = f"""{SPLIT},
+keyed AS (SELECT *, {_h(f"'{SEED}'", "dataset_id", "split", "source_hash")} AS pack_key FROM split),
+placed AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY dataset_id, split ORDER BY pack_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM keyed),
+spread AS (SELECT *, unnest(range(start // {L}, (start + n - 1) // {L} + 1)) AS sequence FROM placed),
+pieces AS (SELECT *, greatest(start, sequence * {L}) AS lo, greatest(start, sequence * {L}) - start AS skip, least(start + n, (sequence + 1) * {L}) - greatest(start, sequence * {L}) AS count
+FROM spread WHERE split = 'train' OR sequence < {q.EVAL_SEQUENCES})"""
+
+
+def _packed(split: str) -> str:
+    ids = "list_slice(list_append(list_transform(string_split(text, ''), lambda c: 4 + unicode(c) % 200), 2), skip + 1, skip + count)"
+    return f"""WITH {PIECES},
+cut AS (SELECT dataset_id, split, sequence, lo, source_hash, count, array_to_string({ids}, ',') AS ids FROM pieces WHERE split = '{split}')
+SELECT dataset_id, split, sequence, md5(string_agg(ids, ',' ORDER BY lo)) AS ids_md5, string_agg(source_hash, ',' ORDER BY lo) AS sources, string_agg(CAST(count AS VARCHAR), ',' ORDER BY lo) AS counts
+FROM cut GROUP BY ALL HAVING sum(count) = {L}"""
+
+
+SHORT = f"""{CLEAN},
+p AS (SELECT doc_id, {_paragraphs("text")} AS p FROM clean),
+f AS (SELECT doc_id, p, list_filter(list_transform(p, lambda x: list_filter(x, lambda l: length(l) >= 40)), lambda x: len(x) > 0) AS f FROM p),
+t AS (SELECT doc_id, CAST(len(flatten(p)) AS BIGINT) AS lines, CAST(len(flatten(p)) - len(flatten(f)) AS BIGINT) AS lines_removed,
+array_to_string(list_transform(p, lambda x: array_to_string(x, chr(10))), chr(10) || chr(10)) AS b, coalesce(array_to_string(list_transform(f, lambda x: array_to_string(x, chr(10))), chr(10) || chr(10)), '') AS a FROM f),
+s AS (SELECT doc_id, lines, lines_removed, CAST(length(b) AS BIGINT) AS chars_before, CAST(length(a) AS BIGINT) AS chars_after, a,
+length(a) = 0 AS empty, lines_removed > 0 AND length(a) < 300 AS short, lines_removed > 0 AND (length(b) - length(a)) / greatest(length(b), 1) > 0.8 AS fraction FROM t)"""
+
+R = q.RULES
+PAGES = f"""docs AS (SELECT row_number AS doc, coalesce(domain_id, '') AS domain, {_clean("text")} AS text FROM wackywacky WHERE text IS NOT NULL),
+pp AS (SELECT doc, domain, {_paragraphs("text")} AS p FROM docs),
+para AS (SELECT doc, domain, unnest(p) AS lines, unnest(range(len(p))) AS para_no FROM pp),
+hashed AS (SELECT doc, domain, para_no, lines, {_h("'paragraph'", "array_to_string(lines, ' ')")} AS paragraph, length(array_to_string(lines, ' ')) AS chars FROM para),
+rep_p AS (SELECT paragraph, count(DISTINCT doc) AS documents, count(DISTINCT domain) AS domains, count(*) AS occurrences FROM hashed WHERE chars >= {R.paragraph_chars}
+GROUP BY paragraph HAVING count(DISTINCT doc) >= {R.paragraph_documents} AND count(DISTINCT domain) >= {R.paragraph_domains}),
+line AS (SELECT doc, domain, para_no, paragraph, unnest(lines) AS line, unnest(range(len(lines))) AS in_para FROM hashed),
+num AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY para_no, in_para) - 1 AS line_no FROM line),
+win AS (SELECT doc, domain, line_no, line AS l0, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM num WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+blk AS (SELECT doc, domain, line_no, {_h("'block'", "l0 || chr(10) || l1 || chr(10) || l2")} AS block FROM win WHERE l2 IS NOT NULL AND length(l0) + length(l1) + length(l2) >= {R.block_chars}),
+rep_b AS (SELECT domain, block, count(DISTINCT doc) AS documents, count(*) AS occurrences FROM blk GROUP BY domain, block HAVING count(DISTINCT doc) >= {R.block_documents}),
+doomed AS (SELECT DISTINCT doc, line_no + k AS line_no FROM blk JOIN rep_b USING (domain, block), (SELECT unnest([0, 1, 2]) AS k)),
+left_ AS (SELECT n.* FROM num n ANTI JOIN doomed d ON n.doc = d.doc AND n.line_no = d.line_no WHERE n.paragraph NOT IN (SELECT paragraph FROM rep_p)),
+q AS (SELECT doc, para_no, string_agg(line, chr(10) ORDER BY line_no) AS t, count(*) AS k FROM left_ GROUP BY doc, para_no),
+a AS (SELECT doc, string_agg(t, chr(10) || chr(10) ORDER BY para_no) AS a, sum(k) AS k FROM q GROUP BY doc),
+b AS (SELECT doc, coalesce(array_to_string(list_transform(p, lambda x: array_to_string(x, chr(10))), chr(10) || chr(10)), '') AS b, len(flatten(p)) AS k FROM pp),
+r AS (SELECT doc, coalesce(a.a, '') AS text, CAST(length(b.b) AS BIGINT) AS chars_before, CAST(length(coalesce(a.a, '')) AS BIGINT) AS chars_after, CAST(coalesce(b.k, 0) - coalesce(a.k, 0) AS BIGINT) AS lines_removed FROM b LEFT JOIN a USING (doc)),
+removed AS (SELECT *, NOT (lines_removed > 0 AND (chars_after < {R.min_after} OR (chars_before - chars_after) / greatest(chars_before, 1) > {R.max_removed})) AS kept FROM r)"""
+
+_SPEAKER = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in q.DIALOGUE_SPEAKERS.items()) + f" ELSE '{q.DIALOGUE_SPEAKERS['view']}' END"
+_STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_SAFE = "CASE WHEN regexp_full_match({0}, '[A-Za-z0-9][A-Za-z0-9_.-]{{0,127}}') THEN {0} END"
+
+SQL = {
+    "hash_bottom_k": f"SELECT doc_id, selection_score, row_number() OVER (ORDER BY selection_score, source_ref) - 1 AS selection_rank FROM (SELECT doc_id, source_ref, {_h(f"'{SEED}'", "'documents'", 'source_ref')} AS selection_score FROM documents ORDER BY 3, 2 LIMIT 128)",
+    "reservoir": f"""SELECT row_number, record_key, {_h(f"'{SEED}'", "'wackywacky-reservoir'", "record_key")} AS selection_score, {_h("'wackywacky-domain'", "CASE WHEN coalesce(trim(domain_id), '') <> '' THEN domain_id ELSE record_key END")} AS domain_ref
+FROM (SELECT *, {_h("'wackywacky'", "coalesce(id, '')", "coalesce(url_md5, '')", "coalesce(text_md5, '')", "CAST(row_number AS VARCHAR)")} AS record_key FROM wackywacky WHERE text IS NOT NULL) ORDER BY 3, 1 LIMIT 128""",
+    "prefix_k": "SELECT stream_index, edu_int_score FROM gigaverbo WHERE edu_int_score >= 4 ORDER BY stream_index LIMIT 100",
+    "prefix_metrics": "WITH g AS (SELECT stream_index, coalesce(edu_int_score >= 4, false) AS good FROM gigaverbo), c AS (SELECT stream_index FROM g WHERE good ORDER BY 1 LIMIT 100), s AS (SELECT CASE WHEN count(*) < 100 THEN NULL ELSE max(stream_index) END AS stop FROM c) SELECT count(*) AS records_seen, count(*) FILTER (NOT good) AS records_filtered_score, max(stream_index) AS last_index FROM g, s WHERE stop IS NULL OR stream_index <= stop",
+    "capped_prefix": "SELECT stream_index, edu_int_score FROM gigaverbo WHERE stream_index < 400 AND edu_int_score >= 3 ORDER BY stream_index LIMIT 50",
+    "skip_n": "SELECT stream_index, source FROM gigaverbo WHERE stream_index >= 25",
+    "score_filter": "SELECT stream_index, edu_int_score FROM gigaverbo WHERE edu_int_score >= 4",
+    "reject_reason_counts": f"SELECT CASE WHEN status IS NULL OR {_STRIP.format('status')} <> 'done' THEN 'filtered_status' WHEN text IS NULL OR {_STRIP.format('text')} = '' THEN 'filtered_missing_text' WHEN text_md5 IS NULL OR {_STRIP.format('text_md5')} = '' THEN 'filtered_missing_text_md5' WHEN {_STRIP.format("coalesce(same_as, '')")} NOT IN ('', 'NULL') THEN 'filtered_same_as' ELSE 'eligible' END AS reason, count(*) AS n FROM wackywacky GROUP BY 1",
+    "clean_plain": f"SELECT doc_id, md5(t) AS text_md5, CAST(coalesce(length(t), 0) AS BIGINT) AS chars FROM (SELECT doc_id, {_clean('text')} AS t FROM documents)",
+    "detokenize": f"SELECT doc_id, md5({_clean('text', 'detokenize')}) AS text_md5 FROM documents",
+    "normalize_paragraphs": f"SELECT doc_id, CAST(len(p) AS BIGINT) AS paragraphs, CAST(coalesce(len(flatten(p)), 0) AS BIGINT) AS lines, md5(coalesce(array_to_string(list_transform(p, lambda x: array_to_string(x, chr(10))), chr(10) || chr(10)), '')) AS text_md5 FROM (SELECT doc_id, {_paragraphs(_clean('text'))} AS p FROM documents WHERE text IS NOT NULL)",
+    "min_length_filter": f"WITH {CLEAN} SELECT doc_id FROM clean WHERE length(text) >= 200",
+    "exact_dedup": f"WITH {FIRST} SELECT doc_id, dataset_id FROM kept",
+    "dedup_metrics": f"WITH {RECORDS}, r AS (SELECT coalesce(dataset_id, 'unknown') AS dataset_id, count(*) AS received FROM documents GROUP BY 1), c AS (SELECT dataset_id, count(*) AS nonempty FROM clean GROUP BY 1), k AS (SELECT dataset_id, count(*) AS tokenized, CAST(sum(n) AS BIGINT) AS tokens FROM records GROUP BY 1) SELECT dataset_id, received, received - coalesce(nonempty, 0) AS empty_or_short, coalesce(nonempty, 0) - coalesce(tokenized, 0) AS duplicates, coalesce(tokenized, 0) AS tokenized, coalesce(tokens, 0) AS tokens FROM r LEFT JOIN c USING (dataset_id) LEFT JOIN k USING (dataset_id)",
+    "duplicate_source_check": "SELECT count(*) AS duplicates FROM (SELECT source_ref FROM documents GROUP BY 1 HAVING count(*) > 1)",
+    "tokenize_codepoint": f"WITH {CLEAN} SELECT doc_id, CAST(length(text) + 1 AS BIGINT) AS n, CAST(list_sum(list_transform(string_split(text, ''), lambda c: 4 + unicode(c) % 200)) + 2 AS BIGINT) AS checksum FROM clean",
+    "token_totals": f"WITH {RECORDS} SELECT dataset_id, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, max(n) AS longest FROM records GROUP BY 1",
+    "split_eval_train": f"WITH {SPLIT} SELECT dataset_id, source_hash, split_score, split, n FROM split",
+    "pack_train": _packed("train"),
+    "pack_eval": _packed("eval"),
+    "pack_provenance": f"WITH {PIECES} SELECT dataset_id, source_hash, sequence, skip, count FROM pieces WHERE split = 'train'",
+    "pack_tails": f"WITH {SPLIT}, s AS (SELECT dataset_id, split, CAST(sum(n) AS BIGINT) AS tokens FROM split GROUP BY 1, 2), e AS (SELECT *, CASE WHEN split = 'eval' THEN least(tokens // {L}, {q.EVAL_SEQUENCES}) ELSE tokens // {L} END AS emitted FROM s) SELECT dataset_id, split, tokens, emitted, tokens - emitted * {L} AS not_selected, (tokens - emitted * {L}) % {L} AS tail FROM e",
+    "capacity_report": f"WITH {SPLIT}, s AS (SELECT dataset_id, CAST(coalesce(sum(n) FILTER (split = 'eval'), 0) AS BIGINT) AS eval_tokens, CAST(coalesce(sum(n) FILTER (split = 'train'), 0) AS BIGINT) AS train_tokens, count(*) AS documents FROM split GROUP BY 1) SELECT *, train_tokens // {L} AS train_sequences, train_tokens % {L} AS train_rest, eval_tokens // {L} >= {q.EVAL_SEQUENCES} AS eval_reserved FROM s",
+    "split_leakage": "SELECT count(*) FILTER (splits > 1) AS leaked, count(*) AS sources FROM (SELECT source_ref_sha256, count(DISTINCT split) AS splits FROM tokenized_document GROUP BY 1)",
+    "short_line_filter": f"WITH {SHORT} SELECT doc_id, lines, lines_removed, chars_before, chars_after, NOT (empty OR short OR fraction) AS kept, md5(a) AS text_md5 FROM s",
+    "short_line_metrics": f"WITH {SHORT} SELECT count(*) AS documents, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(lines_removed) AS BIGINT) AS lines_removed, count(*) FILTER (empty) AS empty, count(*) FILTER (short) AS short, count(*) FILTER (fraction) AS fraction, count(*) FILTER (NOT (empty OR short OR fraction)) AS kept FROM s",
+    "cross_domain_repeats": f"WITH {PAGES} SELECT * FROM rep_p",
+    "within_domain_blocks": f"WITH {PAGES} SELECT * FROM rep_b",
+    "boilerplate_removed": f"WITH {PAGES} SELECT doc, md5(text) AS text_md5, chars_before, chars_after, lines_removed, kept FROM removed",
+    "boilerplate_report": f"WITH {PAGES} SELECT (SELECT count(*) FROM rep_p) AS paragraphs, (SELECT CAST(coalesce(sum(occurrences), 0) AS BIGINT) FROM rep_p) AS paragraph_occurrences, (SELECT count(*) FROM rep_b) AS blocks, (SELECT CAST(coalesce(sum(occurrences), 0) AS BIGINT) FROM rep_b) AS block_occurrences, count(*) AS documents, count(*) FILTER (kept) AS documents_kept, CAST(sum(lines_removed) AS BIGINT) AS lines_removed FROM removed",
+    "dialogue_projection": f"SELECT user_id AS dialogue, md5(string_agg(label || ': ' || said, chr(10) ORDER BY event_id) FILTER (said <> '')) AS text_md5, count(*) AS turns, count(*) FILTER (said <> '') AS turns_kept FROM (SELECT user_id, event_id, {_SPEAKER} AS label, {_clean('props')} AS said FROM events) GROUP BY 1",
+    "anonymize_participants": f"WITH e AS (SELECT event_id % 97 AS conversation, event_id, user_id, {_clean('props')} AS said FROM events), f AS (SELECT conversation, user_id, min(event_id) AS first FROM e GROUP BY 1, 2), n AS (SELECT conversation, user_id, row_number() OVER (PARTITION BY conversation ORDER BY first) AS number FROM f) SELECT conversation, md5(string_agg('Participante ' || number || ': ' || said, chr(10) ORDER BY event_id) FILTER (said <> '')) AS text_md5, count(*) AS messages, count(*) FILTER (said <> '') AS messages_kept, count(DISTINCT user_id) AS participants FROM e JOIN n USING (conversation, user_id) GROUP BY 1",
+    "participant_counts": "SELECT event_id % 97 AS conversation, count(DISTINCT user_id) AS participants, count(*) AS messages FROM events GROUP BY 1",
+    "scored_projection": f"SELECT stream_index, md5(t) AS text_md5, 'gigaverbo:' || {_h("'gigaverbo'", "'main'", "'default'", "'train'", 'CAST(stream_index AS VARCHAR)')} AS source_ref, {_SAFE.format('source')} AS source, {_SAFE.format('subset')} AS subset FROM (SELECT *, {_clean('text')} AS t FROM gigaverbo WHERE edu_int_score >= 4) WHERE t <> ''",
+    "safe_label": f"SELECT stream_index, {_SAFE.format('source')} AS source, {_SAFE.format('subset')} AS subset FROM gigaverbo",
+    "member_refs": "SELECT doc_id, sha256('brwac:corpus.zip:' || source_ref) AS ref FROM documents",
+    "sequence_id_unique": "SELECT sequence_id, count(*) AS n FROM packed_sequence GROUP BY 1 HAVING count(*) > 1",
+    "packed_validation": f"SELECT count(*) AS rows, count(*) FILTER (NOT coalesce(regexp_full_match(sequence_id, '[0-9a-f]{{64}}'), false)) AS bad_sequence_id, count(*) FILTER (coalesce(len(input_ids) <> {L}, true)) AS bad_length, count(*) FILTER (list_min(input_ids) < 0 OR list_max(input_ids) >= 2147483647) AS bad_ids, count(*) FILTER (coalesce(len(source_token_counts) <> len(source_ref_sha256) OR len(source_token_counts) < 1, true)) AS bad_provenance, count(*) FILTER (list_min(source_token_counts) < 1 OR list_sum(source_token_counts) <> {L}) AS bad_counts, count(*) - count(DISTINCT sequence_id) AS surplus_ids FROM packed_sequence",
+    "inspection_summary": "WITH s AS (SELECT dataset_id, split, count(DISTINCT source) AS sources FROM (SELECT dataset_id, split, unnest(source_ref_sha256) AS source FROM packed_sequence) GROUP BY 1, 2) SELECT dataset_id, split, count(*) AS rows, CAST(sum(len(input_ids)) AS BIGINT) AS tokens, min(len(source_ref_sha256)) AS fewest, max(len(source_ref_sha256)) AS most, any_value(sources) AS sources FROM packed_sequence JOIN s USING (dataset_id, split) GROUP BY 1, 2",
+    "split_sources_disjoint": "SELECT source, count(DISTINCT split) AS splits FROM (SELECT split, unnest(source_ref_sha256) AS source FROM packed_sequence) GROUP BY 1 HAVING count(DISTINCT split) > 1",
+    "step_rank_batches": "SELECT event_id AS position, event_id // 8 + 1 AS step, event_id % 8 // 4 AS rank FROM events WHERE event_id < (SELECT count(*) // 8 * 8 FROM events)",
+    "batch_dataset_counts": "SELECT event_id // 8 + 1 AS step, event_type AS dataset_id, count(*) AS n FROM events WHERE event_id < (SELECT count(*) // 8 * 8 FROM events) GROUP BY 1, 2",
+    "eval_ranks": "SELECT event_id % 4 AS rank, count(*) AS n FROM events GROUP BY 1",
+    "eval_macro_perplexity": "WITH p AS (SELECT event_type AS dataset_id, count(*) AS sequences, avg(abs(value) / 100) AS loss FROM events GROUP BY 1), a AS (SELECT * FROM p UNION ALL SELECT 'macro', CAST(sum(sequences) AS BIGINT), avg(loss) FROM p) SELECT dataset_id, sequences, round(loss, 6) AS loss, round(exp(least(loss, 80)), 3) AS perplexity FROM a",
+    "row_range_lookup": "WITH s AS (SELECT event_id // 1000 AS shard, count(*) AS rows FROM events GROUP BY 1), e AS (SELECT shard, rows, coalesce(sum(rows) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s) SELECT event_id AS row_index, shard, CAST(event_id - start AS BIGINT) AS row_in_shard FROM events JOIN e ON event_id >= start AND event_id < start + rows",
+    "stable_hashes": f"SELECT doc_id, {_h(f"'{SEED}'", "coalesce(source, '')", "coalesce(lang, '')", 'CAST(doc_id AS VARCHAR)')} AS h FROM documents",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in q.ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
