@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -72,10 +76,6 @@ def require_budget(tail_rows: DataFrame, limits: dict[str, int]) -> None:
 def sequence_ids(rows: DataFrame) -> DataFrame:
     """Adds sequence_id: a hash of data set, split, number and the ids as little-endian
     int32, written as the Python literal of these bytes."""
-    import hashlib
-
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf(StringType())
     def ident(dataset: pd.Series, split: pd.Series, number: pd.Series, ids: pd.Series) -> pd.Series:
