@@ -115,9 +115,33 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("score") >= abuse.FOUND).alias("found"), F.avg("score").alias("mean_score")).withColumn("rate", F.col("found") / F.col("documents"))
 
 
+def _named(source: str, language: str, domain: str) -> str:
+    plain = f"regexp_replace(lower(trim({source})), '[\\s-]+', '_', 'g')"
+    primary = f"regexp_extract(lower(trim({language})), '^([a-z]*)', 1)"
+    codes = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in labels.LANGUAGE_CODES.items())
+    host = f"regexp_replace(regexp_replace(regexp_replace(lower(trim({domain})), '^[a-z][a-z0-9+.-]*://', ''), '[/:?#].*$', ''), '^www\\.|\\.$', '')"
+    return f"""CASE WHEN regexp_full_match({plain}, '[a-z0-9_.]{{1,64}}') THEN {plain} ELSE 'unknown' END AS source,
+CASE WHEN {language} IS NULL OR {primary} IN ('', 'und', 'unk', 'unknown', 'none', 'null') THEN 'und' ELSE CASE {primary} {codes} ELSE {primary} END END AS language,
+CASE WHEN {domain} IS NULL OR {host} = '' THEN 'unknown' ELSE {host} END AS domain"""
+
+
+_REPEATED = """l AS (SELECT row_number, id, domain_id, line_no, line, regexp_replace(lower(line), '[^\\p{L}]+', '', 'g') AS k FROM (
+SELECT row_number, id, domain_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM wackywacky WHERE domain_id IS NOT NULL AND text IS NOT NULL)),
+f AS (SELECT domain_id, k FROM l WHERE k <> '' GROUP BY 1, 2 HAVING count(DISTINCT id) >= 5),
+found AS (SELECT row_number, line_no FROM l JOIN f USING (domain_id, k))"""
+
+SQL = {
+    "p1_observed": f"""WITH t AS (SELECT source_ref_sha256, max(coalesce(len(input_ids), 0)) AS n FROM tokenized_document WHERE source_ref_sha256 IS NOT NULL GROUP BY 1)
+SELECT source, language, domain, count(*) AS documents, CAST(sum(n) AS BIGINT) AS observed FROM (SELECT {_named("source", "lang", "web_domain")}, n FROM documents JOIN t ON sha256(source_ref) = source_ref_sha256) GROUP BY 1, 2, 3""",
+    "p3_found": f"WITH {_REPEATED} SELECT row_number, line_no FROM found",
+    "p3_pages": f"""WITH {_REPEATED}, kept AS (SELECT row_number, string_agg(line, chr(10) ORDER BY line_no) AS t FROM l ANTI JOIN found USING (row_number, line_no) GROUP BY 1), n AS (SELECT row_number, count(*) AS removed FROM found GROUP BY 1)
+SELECT w.row_number, CASE WHEN removed IS NULL THEN text ELSE coalesce(t, '') END AS text, coalesce(removed, 0) AS removed FROM wackywacky w LEFT JOIN n USING (row_number) LEFT JOIN kept USING (row_number)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_token_budget, p1_observed, p2_found, p2_pages, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
