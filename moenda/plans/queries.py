@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.hashing import stable_hash
 from ..operators import boilerplate, dedup, filters, pack, project, schedule, select, validate
-from ..runtime import table, written
+from ..runtime import spread, table, written
 from ..sources import payload
 
 SEED, EVAL_SEQUENCES = 42, 8
@@ -67,33 +67,39 @@ def page_decode(spark: SparkSession, d: str) -> DataFrame:
 
 def clean_plain(spark: SparkSession, d: str) -> DataFrame:
     text = tx.cleaned(F.col("text"), markup=False)
-    return table(spark, d, "documents").select("doc_id", F.md5(text).alias("text_md5"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("chars"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(text).alias("text_md5"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("chars"))
 
 
 def detokenize(spark: SparkSession, d: str) -> DataFrame:
     text = tx.cleaned(F.col("text"), markup=False, policy="detokenize_brwac_v1")
-    return table(spark, d, "documents").select("doc_id", F.md5(text).alias("text_md5"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(text).alias("text_md5"))
 
 
 def clean_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "wackywacky").select("row_number", tx.cleaned(F.col("html")).alias("text"))
+    return spread(table(spark, d, "wackywacky")).select("row_number", tx.cleaned(F.col("html")).alias("text"))
 
 
 def normalize_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     p = tx.normalized_paragraphs(tx.cleaned(F.col("text"), markup=False))
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(p).cast("bigint").alias("paragraphs"), F.size(F.flatten(p)).cast("bigint").alias("lines"), F.md5(F.array_join(F.transform(p, lambda x: F.array_join(x, "\n")), "\n\n")).alias("text_md5"))
+    return spread(table(spark, d, "documents")).filter("text is not null").select("doc_id", F.size(p).cast("bigint").alias("paragraphs"), F.size(F.flatten(p)).cast("bigint").alias("lines"), F.md5(F.array_join(F.transform(p, lambda x: F.array_join(x, "\n")), "\n\n")).alias("text_md5"))
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.coalesce("dataset_id", F.lit("unknown")).alias("dataset_id"), F.sha2("source_ref", 256).alias("source_hash"), tx.cleaned(F.col("text"), markup=False).alias("text")).filter("text <> ''")
+    return spread(table(spark, d, "documents")).select("doc_id", F.coalesce("dataset_id", F.lit("unknown")).alias("dataset_id"), F.sha2("source_ref", 256).alias("source_hash"), tx.cleaned(F.col("text"), markup=False).alias("text")).filter("text <> ''")
 
 
 def _survivors(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.keep_first(_clean(spark, d), ["dataset_id"], F.col("text"), "doc_id")
+    """Cleaned once and written, as the first of each text is found and then joined."""
+    return dedup.keep_first(written(_clean(spark, d), "clean"), ["dataset_id"], F.col("text"), "doc_id")
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return _survivors(spark, d).select("dataset_id", "source_hash", tx.codepoint_count(F.col("text")).alias("n"))
+    return _records_of(_survivors(spark, d))
+
+
+def _records_of(kept: DataFrame) -> DataFrame:
+    """The narrow rows that are split and placed; texts and ids stay out of the running sums."""
+    return written(kept.select("dataset_id", "source_hash", tx.codepoint_count(F.col("text")).alias("n")), "records")
 
 
 def min_length_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -125,21 +131,26 @@ def token_totals(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.max("n").alias("longest"))
 
 
+def _split_of(records: DataFrame) -> DataFrame:
+    return written(pack.split_by_budget(records, EVAL_SEQUENCES, SEED), "split")
+
+
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return pack.split_by_budget(_records(spark, d), EVAL_SEQUENCES, SEED)
+    return _split_of(_records(spark, d))
 
 
 def split_eval_train(spark: SparkSession, d: str) -> DataFrame:
     return _split(spark, d).select("dataset_id", "source_hash", "split_score", "split", "n")
 
 
-def _pieces(spark: SparkSession, d: str, split: str) -> DataFrame:
-    return pack.pieces(pack.placed(_split(spark, d), SEED).filter(F.col("split") == split), limits={"eval": EVAL_SEQUENCES})
+def _pieces(split_rows: DataFrame, split: str) -> DataFrame:
+    return pack.pieces(pack.placed(split_rows, SEED).filter(F.col("split") == split), limits={"eval": EVAL_SEQUENCES})
 
 
 def _packed(spark: SparkSession, d: str, split: str) -> DataFrame:
-    ids = _survivors(spark, d).select("dataset_id", "source_hash", tx.codepoint_ids(F.col("text")).alias("input_ids"))
-    rows = pack.sequences(_pieces(spark, d, split), ids)
+    kept = written(_survivors(spark, d), "kept")
+    ids = kept.select("dataset_id", "source_hash", tx.codepoint_ids(F.col("text")).alias("input_ids"))
+    rows = pack.sequences(_pieces(_split_of(_records_of(kept)), split), ids)
     return rows.select("dataset_id", "split", "sequence", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.array_join("source_ref_sha256", ",").alias("sources"), F.array_join("source_token_counts", ",").alias("counts"))
 
 
@@ -152,7 +163,7 @@ def pack_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pack_provenance(spark: SparkSession, d: str) -> DataFrame:
-    return _pieces(spark, d, "train").select("dataset_id", "source_hash", "sequence", "skip", "count")
+    return _pieces(_split(spark, d), "train").select("dataset_id", "source_hash", "sequence", "skip", "count")
 
 
 def pack_tails(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +193,7 @@ RULES = boilerplate.Rules(paragraph_chars=40)
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "wackywacky").filter("text is not null")
+    pages = spread(table(spark, d, "wackywacky").select("row_number", "domain_id", "text").filter("text is not null"))
     return written(pages.select(F.col("row_number").alias("doc"), F.coalesce("domain_id", F.lit("")).alias("domain"), tx.cleaned(F.col("text"), markup=False).alias("text")), "pages-clean")
 
 
