@@ -85,12 +85,13 @@ def normalize_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents")).select("doc_id", F.coalesce("dataset_id", F.lit("unknown")).alias("dataset_id"), F.sha2("source_ref", 256).alias("source_hash"), tx.cleaned(F.col("text"), markup=False).alias("text")).filter("text <> ''")
+    """Cleaned texts that aren't empty; written, so that no filter runs the cleaning again."""
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.coalesce("dataset_id", F.lit("unknown")).alias("dataset_id"), F.sha2("source_ref", 256).alias("source_hash"), tx.cleaned(F.col("text"), markup=False).alias("text"))
+    return written(rows, "clean").filter("text <> ''")
 
 
 def _survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Cleaned once and written, as the first of each text is found and then joined."""
-    return dedup.keep_first(written(_clean(spark, d), "clean"), ["dataset_id"], F.col("text"), "doc_id")
+    return dedup.keep_first(_clean(spark, d), ["dataset_id"], F.col("text"), "doc_id")
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
