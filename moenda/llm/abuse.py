@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix64
-from ..runtime import written
+from ..runtime import spread, written
 
 # The voters' words and patterns, over folded words.
 INSULTS = (
@@ -362,7 +362,7 @@ def fitted(documents: DataFrame, labels: DataFrame, max_judged: int = 8_000, max
     The classifier is trained on at most ``max_judged`` judged documents, ``max_voted``
     others with votes and ``max_plain`` without, which are those of the smallest hashes.
     """
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     votes = written(_votes(rows), "abuse-votes")
     # no more rows than there are patterns of the voters, of which few occur
     counts = {r["v"]: r["n"] for r in votes.select(F.explode("votes").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
@@ -383,7 +383,7 @@ def scored(documents: DataFrame, model: Classifier, keep: list[str]) -> DataFram
     """The columns ``keep`` and ``score`` (double, 0 to 1) of every row."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    rows = documents.select(*keep, F.col("text").alias("_text"))
+    rows = spread(documents.select(*keep, F.col("text").alias("_text")))
     held = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
     def run(batches):

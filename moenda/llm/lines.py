@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import spread, written
 from .skew import join_counted
 
 
@@ -17,7 +17,8 @@ def keyed_lines(pages: DataFrame, row: str, document: str, source: str, text: st
     Rows without source or text have no lines; a null document counts as one
     document of that source.
     """
-    lines = pages.filter(F.col(source).isNotNull() & F.col(text).isNotNull()).select(
+    held = spread(pages.select(row, document, source, text).filter(F.col(source).isNotNull() & F.col(text).isNotNull()))
+    lines = held.select(
         F.col(row).alias("row_number"), F.xxhash64(source).alias("s"), F.xxhash64(document).alias("d"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     )
     letters = lines.select("row_number", F.col("line_no").cast("bigint").alias("line_no"), "s", "d", F.regexp_replace(F.lower("line"), r"[^\p{L}]+", "").alias("letters"))

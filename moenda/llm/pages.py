@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_schema
 from ..functions.hashing import h64
-from ..runtime import written
+from ..runtime import spread, written
 from .skew import join_counted
 
 #: Elements that hold blocks, elements without content or end.
@@ -342,7 +342,7 @@ def surroundings(pages: DataFrame, row: str = "row_number", site: str = "domain_
     """
     host = F.coalesce(F.col(site), F.nullif(F.regexp_extract(F.lower(F.col(url)), r"^[a-z]+://([^/?#]+)", 1), F.lit("")))
     chosen = pages.filter(F.col(text).isNotNull()).select(F.col(row).cast("bigint").alias("row_number"), host.alias("host"), F.col(title).alias("title"), F.col(text).alias("text"), F.col(html).alias("html"))
-    parsed = written(_parse(chosen), "pages-parsed")
+    parsed = written(_parse(spread(chosen)), "pages-parsed")
     firsts = parsed.groupBy("content").agg(F.min("row_number").alias("row_number")).select("row_number", F.lit(True).alias("first"))
     parsed = parsed.join(firsts, "row_number", "left").withColumn("first", F.coalesce("first", F.lit(False)))
 

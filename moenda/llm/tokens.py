@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from ..runtime import spread
 from . import bpe, labels
 
 
@@ -29,7 +30,7 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], ids: str = "ids", to
     empty table gives an empty one.  Other columns, whatever their names, are not
     read; a kept column named like ``ids`` is an error.
     """
-    rows = df.select(*_only(df, keep, [ids]), F.col(text).alias("_text"))
+    rows = spread(df.select(*_only(df, keep, [ids]), F.col(text).alias("_text")))
     schema = StructType([*rows.select(*keep).schema, StructField(ids, ArrayType(IntegerType()))])
 
     def run(batches):
@@ -45,7 +46,7 @@ def encode_texts(df: DataFrame, text: str, keep: list[str], ids: str = "ids", to
 
 def count_tokens(df: DataFrame, text: str, keep: list[str], tokens: str = "tokens", tokenizer: str = "byte_bpe_50k", directory: str | None = None) -> DataFrame:
     """As ``encode_texts``, with the number of tokens (bigint) in place of the ids."""
-    rows = df.select(*_only(df, keep, [tokens]), F.col(text).alias("_text"))
+    rows = spread(df.select(*_only(df, keep, [tokens]), F.col(text).alias("_text")))
     schema = StructType([*rows.select(*keep).schema, StructField(tokens, LongType())])
 
     def run(batches):
