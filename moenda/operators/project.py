@@ -9,7 +9,11 @@ from ..functions.hashing import stable_hash
 from ..functions.text import cleaned
 from .filters import safe_label
 
+# Shown speakers, and the tags that keys and references of each source begin with.
 SPEAKERS = {"USER": "Usuário", "SYSTEM": "Assistente"}
+PARTICIPANT = "Participante"
+PAGE_TAG, PAGE_SCORE_TAG, PAGE_DOMAIN_TAG = "wackywacky", "wackywacky-reservoir", "wackywacky-domain"
+MEMBER_PREFIX, SCORED_PREFIX = "brwac:", "gigaverbo:"
 
 
 def dialogue_documents(turns: DataFrame, dialogue: str, order: str, speaker: str, utterance: str, speakers: dict[str, str] | None = None, markup: bool = True) -> DataFrame:
@@ -31,7 +35,7 @@ def _joined(lines: DataFrame, key: list[str]) -> DataFrame:
     return held.select(*key, F.when(F.size("l") > 0, F.array_join("l.line", "\n")).alias("text"), "n", F.size("l").cast("bigint").alias("kept"))
 
 
-def conversation_documents(messages: DataFrame, conversation: str, order: str, user: str, text: str, prefix: str = "Participante", markup: bool = True) -> DataFrame:
+def conversation_documents(messages: DataFrame, conversation: str, order: str, user: str, text: str, prefix: str = PARTICIPANT, markup: bool = True) -> DataFrame:
     """(conversation, text, messages, messages_kept, participants): users become numbers in
     the order of their first message, also if that is empty after cleaning.
 
@@ -49,17 +53,17 @@ def conversation_documents(messages: DataFrame, conversation: str, order: str, u
 
 def page_keys(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Adds record_key, selection_score and domain_ref of pages (null parts count as empty)."""
-    keyed = rows.withColumn("record_key", stable_hash("wackywacky", F.col("id"), F.col("url_md5"), F.col("text_md5"), F.col("row_number")))
-    scored = keyed.withColumn("selection_score", stable_hash(seed, "wackywacky-reservoir", F.col("record_key")))
-    return scored.withColumn("domain_ref", stable_hash("wackywacky-domain", F.when(F.coalesce(F.trim("domain_id"), F.lit("")) != "", F.col("domain_id")).otherwise(F.col("record_key"))))
+    keyed = rows.withColumn("record_key", stable_hash(PAGE_TAG, F.col("id"), F.col("url_md5"), F.col("text_md5"), F.col("row_number")))
+    scored = keyed.withColumn("selection_score", stable_hash(seed, PAGE_SCORE_TAG, F.col("record_key")))
+    return scored.withColumn("domain_ref", stable_hash(PAGE_DOMAIN_TAG, F.when(F.coalesce(F.trim("domain_id"), F.lit("")) != "", F.col("domain_id")).otherwise(F.col("record_key"))))
 
 
 def member_ref(archive: Column, member: Column) -> Column:
-    return F.concat(F.lit("brwac:"), archive, F.lit(":"), member)
+    return F.concat(F.lit(MEMBER_PREFIX), archive, F.lit(":"), member)
 
 
 def scored_documents(rows: DataFrame, dataset: str, revision: str, config: str, split: str, markup: bool = True) -> DataFrame:
     """(stream_index, text, source_ref, source, subset) of records with a text; labels that
     aren't plain names become null."""
-    ref = F.concat(F.lit("gigaverbo:"), stable_hash(dataset, revision, config, split, F.col("stream_index")))
+    ref = F.concat(F.lit(SCORED_PREFIX), stable_hash(dataset, revision, config, split, F.col("stream_index")))
     return rows.select("stream_index", cleaned(F.col("text"), markup).alias("text"), ref.alias("source_ref"), safe_label(F.col("source")).alias("source"), safe_label(F.col("subset")).alias("subset")).filter("text <> ''")
