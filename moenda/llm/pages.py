@@ -280,11 +280,21 @@ def settle(lines: list[dict], votes: dict[int, tuple[int, int]]) -> list[int]:
     return out
 
 
+#: Pages whose lines and containers a worker holds as Python objects at once.
+HELD_PAGES = 500
+
+
+def _slices(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, HELD_PAGES):
+            yield batch.slice(start, HELD_PAGES)
+
+
 def _parse(pages: DataFrame) -> DataFrame:
     schema = arrow_schema(PARSED)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [parse_page(*values) for values in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -301,7 +311,7 @@ def _label(parsed: DataFrame, recurring: DataFrame) -> DataFrame:
     joined = parsed.join(recurring, "row_number", "left").select("row_number", "first", "complete", "containers", "lines", "found")
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for x in batch.to_pylist():
                 labels = container_labels(x["containers"], {f["key"]: f["n"] for f in x["found"] or ()}, x["complete"])
@@ -319,7 +329,7 @@ def _settle(labelled: DataFrame, votes: DataFrame) -> DataFrame:
     joined = labelled.join(votes, "row_number", "left").select("row_number", "lines", "found")
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows, numbers = [], []
             for x in batch.to_pylist():
                 known = {f["key"]: (f["around"], f["main"]) for f in x["found"] or ()}
