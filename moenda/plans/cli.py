@@ -16,10 +16,12 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("run", "capacity"):
         sub = commands.add_parser(name)
-        sub.add_argument("--documents", required=True, help="Parquet with position, text, source_ref")
+        sub.add_argument("--documents", required=True, help="Parquet with position, text, source_ref; domain for --decision remove_exact or pending and for --line-characters")
         sub.add_argument("--dataset", required=True)
         sub.add_argument("--profile", default="smoke")
-        sub.add_argument("--decision", default="keep")
+        sub.add_argument("--decision", default="keep", choices=pipeline.DECISIONS)
+        sub.add_argument("--line-characters", type=int, help="shorter lines go; 40 unless the decision is keep")
+        sub.add_argument("--page-markers", help="JSON with the arguments of filters.PageRules; needs the columns of the page filters")
         sub.add_argument("--eval-reserve", type=int, default=256)
         sub.add_argument("--output", default="output")
     for name in ("validate", "inspect"):
@@ -47,7 +49,11 @@ def main(argv: list[str] | None = None) -> int:
                 rows = spark.read.parquet(f"{args.path}/{split}").withColumns({"dataset_id": F.lit(manifest["dataset_id"]), "split": F.lit(split)})
                 result[split] = checks.summary(rows).first().asDict()
         else:
-            spec = pipeline.Spec(args.dataset, args.profile, decision=args.decision)
+            markers = None
+            if args.page_markers:
+                with open(args.page_markers, encoding="utf-8") as f:
+                    markers = json.load(f)
+            spec = pipeline.Spec(args.dataset, args.profile, decision=args.decision, line_characters=args.line_characters, page_markers=markers)
             documents = spark.read.parquet(args.documents)
             try:
                 result = pipeline.run(spark, documents, spec, args.output) if args.command == "run" else pipeline.capacity(documents, spec, eval_reserve=args.eval_reserve)

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import dedup, pack, schedule, validate
+from ..operators import boilerplate, dedup, filters, pack, schedule, validate
 from ..runtime import written
 from .manifest import content_id, digest, reject_absolute_paths, validate_shards, write_json_atomic, write_shards
 
 
+REPORT = "boilerplate_report.json"
+
+
 class ReviewRequired(RuntimeError):
     """The boilerplate decision of a data set is still pending (exit code 20)."""
 
@@ -29,12 +32,20 @@ class Profile:
     candidate_documents: int
 
 
+DECISIONS = ("keep", "remove_exact", "pending")
+#: Lines shorter than this go before boilerplate is looked for.
+LINE_CHARACTERS = 40
 PROFILES = {"smoke": Profile(8, 2, 128), "mvp": Profile(256, 32, 4096)}
 
 
 @dataclass(frozen=True)
 class Spec:
-    """One preparation: documents are rows (position, text, source_ref)."""
+    """One preparation: documents are rows (position, text, source_ref).
+
+    The line filter and the boilerplate decision also need ``domain``, the page filters
+    ``title, url_final, url, status, text_md5, same_as``.  ``line_characters`` is 40 by default
+    where boilerplate is decided on, and no line is dropped under ``keep``.
+    """
 
     dataset_id: str
     profile: str = "smoke"
@@ -44,6 +55,30 @@ class Spec:
     clean_passes: int = 1
     decision: str = "keep"  # keep, remove_exact or pending
     profiles: dict[str, Profile] = field(default_factory=lambda: dict(PROFILES))
+    line_characters: int | None = None
+    rules: boilerplate.Rules = boilerplate.Rules()
+    page_markers: dict[str, list[str]] | None = None  # arguments of filters.PageRules
+
+    def __post_init__(self):
+        if self.decision not in DECISIONS:
+            raise ValueError(f"the decision must be one of {', '.join(DECISIONS)}, not {self.decision}")
+
+    @property
+    def least_line(self) -> int:
+        if self.line_characters is not None:
+            return self.line_characters
+        return 0 if self.decision == "keep" else LINE_CHARACTERS
+
+    @property
+    def reviews(self) -> bool:
+        """Lines or boilerplate are looked at."""
+        return self.decision != "keep" or self.least_line > 0
+
+    @property
+    def columns(self) -> list[str]:
+        """What the documents need beside position, text and source_ref."""
+        pages = ["title", "url_final", "url", "status", "text_md5", "same_as"] if self.page_markers is not None else []
+        return (["domain"] if self.reviews else []) + pages
 
     @property
     def budget(self) -> Profile:
@@ -52,7 +87,54 @@ class Spec:
         return self.profiles[self.profile]
 
     def resolved(self) -> dict:
-        return {k: v for k, v in asdict(self).items() if k != "profiles"} | {"budget": asdict(self.budget)}
+        parts = {k: v for k, v in asdict(self).items() if k not in ("profiles", "line_characters", "rules", "page_markers")}
+        if self.reviews:
+            parts |= {"line_characters": self.least_line, "rules": asdict(self.rules)}
+        if self.page_markers is not None:
+            parts["page_markers"] = {k: list(v) for k, v in self.page_markers.items()}
+        return parts | {"budget": asdict(self.budget)}
+
+
+def require_columns(documents: DataFrame, spec: Spec) -> None:
+    missing = [c for c in spec.columns if c not in documents.columns]
+    if missing:
+        raise ValueError(f"{spec.dataset_id}: documents lack {', '.join(missing)}")
+
+
+def eligible(documents: DataFrame, spec: Spec) -> DataFrame:
+    """Documents that pass the page filters, where the spec has them."""
+    if spec.page_markers is None:
+        return documents
+    pages = filters.PageRules(**spec.page_markers)
+    rows = documents.filter(filters.first_reason(filters.page_reasons()).isNull())
+    return rows.filter(pages.column(F.col("title"), F.col("url_final"), F.col("url")).isNull())
+
+
+def reviewed(candidates: DataFrame, spec: Spec) -> tuple[DataFrame, dict | None]:
+    """Candidates after the line filter and the boilerplate decision, and the report on them.
+
+    The report says what removal takes from the candidates, whether or not it is done.
+    Repeats are counted before duplicates go.  A document without domain is a domain of its own.
+    """
+    if not spec.reviews:
+        return candidates, None
+    dedup.require_unique(candidates, ["source_ref"], "the source reference of documents")
+    domain = F.coalesce(F.nullif(filters.stripped(F.col("domain")), F.lit("")), F.concat(F.lit("\x00"), "source_ref"))
+    docs = written(candidates.select("position", "source_ref", domain.alias("domain"), tx.cleaned(F.col("text")).alias("text")), "review-cleaned")
+    lines = written(filters.short_line_filter(docs, "source_ref", "text", spec.least_line, spec.rules.min_after, spec.rules.max_removed), "review-lines")
+    counts = lines.agg(
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("lines_removed"), F.lit(0)).alias("lines_removed"),
+        F.count_if("discarded_empty").alias("discarded_empty"), F.count_if("discarded_short").alias("discarded_short"), F.count_if("discarded_fraction").alias("discarded_fraction"), F.count_if("kept").alias("documents_kept"),
+    ).first()
+    left = docs.select("position", "source_ref", "domain").join(lines.filter("kept").select("source_ref", "text"), "source_ref")
+    left = written(left.withColumnRenamed("source_ref", "doc"), "review-left")
+    report = {
+        "dataset_id": spec.dataset_id, "profile": spec.profile, "decision": spec.decision, "rules": asdict(spec.rules), "line_filter": {"line_characters": spec.least_line} | counts.asDict(),
+        "removal": boilerplate.report(left, spec.rules).first().asDict(), "applied": spec.decision == "remove_exact", "finalization_blocked": spec.decision == "pending",
+    }
+    if spec.decision == "remove_exact":
+        left = written(left.drop("text").join(boilerplate.removed(left, spec.rules).filter("kept").select("doc", "text"), "doc"), "review-removed")
+    return left.select("position", "text", F.col("doc").alias("source_ref")), report
 
 
 def survivors(documents: DataFrame, spec: Spec) -> DataFrame:
@@ -71,9 +153,9 @@ def records_of(kept: DataFrame) -> DataFrame:
     return kept.select("dataset_id", "source_hash", tx.codepoint_count(F.col("text")).alias("n"))
 
 
-def source_digest(documents: DataFrame) -> str:
+def source_digest(documents: DataFrame, columns: list[str] = []) -> str:
     """Identity of an input relation, whatever the order of its rows."""
-    row = documents.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("position", "source_ref", "text").cast("decimal(38,0)")).alias("s")).first()
+    row = documents.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("position", "source_ref", "text", *columns).cast("decimal(38,0)")).alias("s")).first()
     return digest([row["n"], str(row["s"])])
 
 
@@ -81,16 +163,23 @@ def run(spark: SparkSession, documents: DataFrame, spec: Spec, root: str) -> dic
     """Prepares a data set below ``root`` and returns its manifest.
 
     The manifest is written last; where it exists, it is validated and returned.
+    A pending decision leaves the boilerplate report below ``root``, if there are domains.
     """
-    if spec.decision == "pending":
-        raise ReviewRequired(spec.dataset_id)
-    source = source_digest(documents)
+    if spec.decision == "pending" and "domain" not in documents.columns:
+        raise ReviewRequired(f"{spec.dataset_id} (no report without domain)")
+    require_columns(documents, spec)
+    source = source_digest(documents, spec.columns)
     ident = content_id(config=spec.resolved(), source=source, tokenizer="codepoint-200")
     folder = os.path.join(root, spec.dataset_id, ident)
     path = os.path.join(folder, "dataset_manifest.json")
     if os.path.exists(path):
         return validate_preparation(spark, folder)
-    candidates = documents.orderBy("position").limit(spec.budget.candidate_documents)
+    candidates, report = reviewed(eligible(documents, spec).orderBy("position").limit(spec.budget.candidate_documents), spec)
+    if report:
+        reject_absolute_paths(report)
+        write_json_atomic(os.path.join(folder, REPORT), report)
+    if spec.decision == "pending":
+        raise ReviewRequired(f"{spec.dataset_id} (see {spec.dataset_id}/{ident}/{REPORT})")
     kept = written(survivors(candidates, spec), "kept")
     placed = written(pack.placed(pack.split_by_budget(records_of(kept), spec.budget.eval_sequences, spec.seed), spec.seed), "placed")
     limits = {"train": spec.budget.train_sequences, "eval": spec.budget.eval_sequences}
@@ -104,6 +193,8 @@ def run(spark: SparkSession, documents: DataFrame, spec: Spec, root: str) -> dic
         "dataset_id": spec.dataset_id, "profile": spec.profile, "preparation_id": ident, "resolved_config_sha256": digest(spec.resolved()), "source_digest": source,
         "counts": {split: sum(s["rows"] for s in shards[split]) for split in shards}, "discards": {r["split"]: {"not_selected": r["not_selected"], "tail": r["tail"]} for r in tails.collect()}, "shards": shards,
     }
+    if report:
+        manifest["boilerplate_report_sha256"] = digest(report)
     reject_absolute_paths(manifest)
     write_json_atomic(path, manifest)
     return validate_preparation(spark, folder)
@@ -114,7 +205,12 @@ def validate_preparation(spark: SparkSession, folder: str) -> dict:
     with open(os.path.join(folder, "dataset_manifest.json"), encoding="utf-8") as f:
         manifest = json.load(f)
     reject_absolute_paths(manifest)
-    surplus = set(os.listdir(folder)) - {"train", "eval", "dataset_manifest.json"}
+    stored = {"train", "eval", "dataset_manifest.json"} | ({REPORT} if "boilerplate_report_sha256" in manifest else set())
+    surplus = set(os.listdir(folder)) - stored
+    if REPORT in stored:
+        with open(os.path.join(folder, REPORT), encoding="utf-8") as f:
+            if digest(json.load(f)) != manifest["boilerplate_report_sha256"]:
+                raise ValueError("the boilerplate report differs from the manifest")
     if surplus or manifest["preparation_id"] != os.path.basename(folder):
         raise ValueError("files or identity of the preparation don't match")
     rows = None
@@ -139,8 +235,11 @@ def capacity(documents: DataFrame, spec: Spec, record_capped: bool = False, eval
     ``exact`` if every document was looked at, else ``lower_bound``.
     """
     wanted = spec.budget.candidate_documents
-    seen = documents.orderBy("position").limit(wanted)
-    report = pack.capacity(pack.split_by_budget(records_of(survivors(seen, spec)), eval_reserve, spec.seed), eval_reserve).first()
+    require_columns(documents, spec)
+    if spec.decision == "pending":
+        raise ReviewRequired(spec.dataset_id)
+    seen = eligible(documents, spec).orderBy("position").limit(wanted)
+    report = pack.capacity(pack.split_by_budget(records_of(survivors(reviewed(seen, spec)[0], spec)), eval_reserve, spec.seed), eval_reserve).first()
     n = seen.count()
     found = {"dataset_id": spec.dataset_id, "capacity_kind": "exact" if n < wanted and not record_capped else "lower_bound", "documents": n, "train_sequences": report["train_sequences"] if report else 0, "eval_reserved": bool(report and report["eval_reserved"])}
     if not found["eval_reserved"]:

@@ -54,6 +54,53 @@ def test_gates(spark, documents, tmp_path):
         pipeline.run(spark, again, pipeline.Spec("x"), str(tmp_path))
 
 
+@pytest.fixture(scope="module")
+def pages(spark):
+    footer = "\n".join(f"rodape repetido do site com linha comprida numero {k} sempre igual" for k in range(3))
+    notice = "Este aviso de privacidade aparece igual em todos os sites e tem mais de oitenta letras no total."
+    rows = []
+    for k in range(40):
+        body = f"documento {k} " + f"palavra{k} " * 150
+        rows.append((k, f"Menu\n{body}\n\n{notice}\n\n{footer}", f"ref-{k}", f"site{k % 4}", None, None, f"http://x/{'busca' if k == 39 else 'p'}/{k}", "done", "m", None))
+    return spark.createDataFrame(rows, "position bigint, text string, source_ref string, domain string, title string, url_final string, url string, status string, text_md5 string, same_as string")
+
+
+def _decoded(spark, root, m):
+    rows = spark.read.parquet(*(os.path.join(root, m["dataset_id"], m["preparation_id"], s) for s in ("train", "eval"))).collect()
+    return {tuple(r["input_ids"]) for r in rows}
+
+
+def test_remove_exact_removes(spark, pages, tmp_path):
+    profiles = {"smoke": pipeline.Profile(8, 2, 128)}
+    keep = pipeline.run(spark, pages, pipeline.Spec("w", profiles=profiles), str(tmp_path))
+    gone = pipeline.run(spark, pages, pipeline.Spec("w", decision="remove_exact", profiles=profiles), str(tmp_path))
+    footer = [4 + ord(c) % 200 for c in "rodape repetido"]
+
+    def holds(ids):
+        return any(list(ids[k : k + len(footer)]) == footer for k in range(len(ids)))
+
+    assert any(map(holds, _decoded(spark, str(tmp_path), keep)))
+    assert not any(map(holds, _decoded(spark, str(tmp_path), gone)))
+    with open(tmp_path / "w" / gone["preparation_id"] / pipeline.REPORT, encoding="utf-8") as f:
+        report = json.load(f)
+    assert report["line_filter"]["lines_removed"] == 40 and report["applied"]
+    assert report["removal"]["paragraphs"] == 2 and report["removal"]["documents_kept"] == 40 and report["removal"]["lines_removed"] == 160
+    assert pipeline.run(spark, pages, pipeline.Spec("w", decision="remove_exact", profiles=profiles), str(tmp_path)) == gone
+    marked = pipeline.Spec("w", decision="remove_exact", profiles=profiles, page_markers={"search_segments": ["busca"]})
+    rows, report = pipeline.reviewed(pipeline.eligible(pages, marked), marked)
+    assert rows.count() == 39 and report["removal"]["documents"] == 39
+    with pytest.raises(pipeline.ReviewRequired):
+        pipeline.run(spark, pages, pipeline.Spec("p", decision="pending", profiles=profiles), str(tmp_path))
+    (ident,) = os.listdir(tmp_path / "p")
+    with open(tmp_path / "p" / ident / pipeline.REPORT, encoding="utf-8") as f:
+        report = json.load(f)
+    assert report["finalization_blocked"] and not report["applied"] and report["removal"]["lines_removed"] == 160
+    with pytest.raises(ValueError, match="lack domain"):
+        pipeline.run(spark, pages.drop("domain"), pipeline.Spec("w", decision="remove_exact"), str(tmp_path))
+    with pytest.raises(ValueError, match="decision"):
+        pipeline.Spec("w", decision="remove")
+
+
 def test_capacity_and_allocation(documents):
     spec = pipeline.Spec("x", profiles={"smoke": pipeline.Profile(8, 2, 1000)})
     report = pipeline.capacity(documents, spec, eval_reserve=2)
