@@ -3,7 +3,9 @@
 Two texts are the same record if their letters and digits are the same in the same
 order, letter case ignored and accents respected (in composed form, so that it does
 not matter how an accent is encoded).  A text that is only a record of named fields
-is compared as its set of (name, value) pairs, each compared in that way.
+is also compared as its set of (name, value) pairs, each compared in that way.  Prose
+with a colon in each line reads as such a text too: it still is the same as any text
+with the same letters in the same order.
 """
 
 from __future__ import annotations
@@ -24,11 +26,9 @@ from . import sketch
 from .skew import join_counted
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
-_FIELD = re.compile(r"\s*([^:=]{1,60}?)\s*[:=]\s*(.*?)\s*\Z", re.DOTALL)
-_JSON_FIELD = re.compile(r'\s*"((?:[^"\\]|\\.)*)"\s*:\s*(?:"((?:[^"\\]|\\.)*)"|([^",{}\[\]]+))\s*(?:,|\Z)')
-
-#: No record of named fields is longer than this; longer texts are compared as texts.
-RECORD_CHARS = 20_000
+_NAME_ENDS = re.compile("[:=]")
+# possessive, so that a text of any length is parsed in linear time
+_JSON_FIELD = re.compile(r'\s*+"((?:[^"\\]|\\.)*+)"\s*+:\s*+(?:"((?:[^"\\]|\\.)*+)"|([^",{}\[\]]++))\s*+(?:,|\Z)')
 
 
 def folded(text: str) -> str:
@@ -38,6 +38,11 @@ def folded(text: str) -> str:
     return _NOT_ALNUM.sub("", text.casefold())
 
 
+def _is_name(name: str) -> bool:
+    """Field names of all notations: whatever has a letter or digit."""
+    return folded(name) != ""
+
+
 def _json_pairs(text: str) -> list[tuple[str, str]] | None:
     body, at, pairs = text.strip().rstrip(".; ")[1:-1], 0, []
     while at < len(body):
@@ -49,6 +54,8 @@ def _json_pairs(text: str) -> list[tuple[str, str]] | None:
                 name, value = json.loads(f'"{name}"'), json.loads(f'"{value}"')
             except ValueError:
                 return None
+        if not _is_name(name):
+            return None
         pairs.append((name, value))
         at = m.end()
     return pairs
@@ -59,10 +66,10 @@ def _parted(parts: list[str]) -> list[tuple[str, str]] | None:
     for part in parts:
         if part.strip(" \t\r\xa0.") == "":
             continue
-        m = _FIELD.match(part)
-        if not m or len(m[1]) > 40 or len(m[1].split()) > 3 or not folded(m[1]):
+        m = _NAME_ENDS.search(part)
+        if not m or not _is_name(part[: m.start()]):
             return None
-        pairs.append((m[1], m[2]))
+        pairs.append((part[: m.start()], part[m.end() :]))
     return pairs
 
 
@@ -70,7 +77,7 @@ def named_fields(text: str) -> frozenset[tuple[str, str]] | None:
     """The (name, value) pairs of a text that is only a record of at least two
     named fields: a JSON object, or ``name: value`` / ``name = value`` on lines or
     between ``;`` or ``|``.  Names and values are folded.  None for any other text."""
-    if len(text) > RECORD_CHARS or not (":" in text or "=" in text):
+    if not (":" in text or "=" in text):
         return None
     plain = text.strip()
     if plain.startswith("{") and plain.rstrip(".; ").endswith("}"):
@@ -103,10 +110,15 @@ def invariant(canonical: str) -> int:
 
 
 def _cheap(text: str) -> tuple[str, frozenset | None]:
-    fields = named_fields(text)
-    if fields is None:
-        return folded(text), None
-    return "".join(a + b for a, b in fields), fields
+    return folded(text), named_fields(text)
+
+
+def _invariants(canonical: str, fields: frozenset | None) -> set[int]:
+    """Of the ordered letters, and of the pairs of a record."""
+    found = {invariant(canonical)}
+    if fields is not None:
+        found.add(invariant("".join(a + b for a, b in fields)))
+    return found
 
 
 def exact_key(canonical: str, fields: frozenset | None) -> tuple[int, int]:
@@ -119,7 +131,7 @@ def exact_key(canonical: str, fields: frozenset | None) -> tuple[int, int]:
 def _first_pass(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out = [(r, invariant(c)) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (c := _cheap(t)[0])]
+            out = [(r, c) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (x := _cheap(t))[0] for c in _invariants(*x)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["row", "c"])
 
     return rows.mapInArrow(run, "row bigint, c bigint")
@@ -130,23 +142,62 @@ def _second_pass(rows: DataFrame, shared: np.ndarray, bits: int) -> DataFrame:
 
     def run(batches):
         several = held.value
+
+        def alone(c: int) -> bool:
+            b = (c & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
+            return not several[b >> 3] >> (7 - (b & 7)) & 1
+
         for batch in batches:
             out = []
             for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 canonical, fields = _cheap(t)
                 if canonical:
                     c = invariant(canonical)
-                    b = (c & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)
-                    alone = not several[b >> 3] >> (7 - (b & 7)) & 1
-                    out.append((r, c, None, None) if alone else (r, c, *exact_key(canonical, fields)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["row", "c", "a", "b"])
+                    if all(map(alone, _invariants(canonical, fields))):
+                        out.append((r, c, None, None, None, None))
+                    else:
+                        out.append((r, c, *exact_key(canonical, None), *((None, None) if fields is None else exact_key("", fields))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(6)], names=["row", "c", "a", "b", "p", "q"])
+
+    return rows.mapInArrow(run, "row bigint, c bigint, a bigint, b bigint, p bigint, q bigint")
 
-    return rows.mapInArrow(run, "row bigint, c bigint, a bigint, b bigint")
+
+def _linked(keys: DataFrame) -> DataFrame:
+    """(row, c, a, b): letter orders (a, b) that share pairs (p, q) get the least of their keys.
+
+    Orders and pairs are the two sides of a graph of few distinct edges; its connected
+    components are the records.  Labels spread over it until each pair has one.
+    """
+    plain = keys.select("row", "c", "a", "b")
+    edges = keys.filter(F.col("p").isNotNull()).select("a", "b", "p", "q").distinct()
+    edges = written(edges.withColumns({"la": F.col("a"), "lb": F.col("b")}), "record-edges")
+    total = edges.count()
+
+    def open_pairs() -> bool:
+        labels = edges.groupBy("p", "q").agg(F.min(F.struct("la", "lb")).alias("low"), F.max(F.struct("la", "lb")).alias("high"))
+        return not labels.filter("low <> high").isEmpty()
+
+    moved = False
+    while open_pairs():
+        moved = True
+        for x, y in (("p", "q"), ("a", "b")):
+            least = edges.groupBy(x, y).agg(F.min(F.struct("la", "lb")).alias("low"), F.count(F.lit(1)).alias("n"))
+            least = least.select(x, y, "n", F.col("low.la").alias("la"), F.col("low.lb").alias("lb"))
+            edges = written(join_counted(edges.drop("la", "lb"), least, [x, y], ["la", "lb"], F.xxhash64("a", "b", "p", "q"), total), "record-edges")
+    if not moved:
+        return plain
+    renamed = edges.filter("a <> la or b <> lb").select("a", "b", "la", "lb").distinct()
+    orders = plain.filter(F.col("a").isNotNull()).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    orders = written(orders.join(renamed, ["a", "b"], "left").select("a", "b", "n", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "record-orders")
+    total = orders.agg(F.sum("n")).first()[0]
+    named = join_counted(plain.filter(F.col("a").isNotNull()), orders, ["a", "b"], ["la", "lb"], F.xxhash64("row"), total)
+    named = named.select("row", "c", F.col("la").alias("a"), F.col("lb").alias("b"))
+    return written(plain.filter(F.col("a").isNull()).unionByName(named), "record-linked")
 
 
 def refined(pages: DataFrame, row: str = "row_number", text: str = "text") -> DataFrame:
     """(row, c, a, b) of every text with a letter or digit; a and b are null where
-    the cheap invariant alone shows that no other text is the same record.
+    the cheap invariants alone show that no other text is the same record.
 
     First all texts are grouped by length and letter histogram, of which only hashes
     leave the executors.  A bitmap of fixed size tells which of these classes may
@@ -157,7 +208,7 @@ def refined(pages: DataFrame, row: str = "row_number", text: str = "text") -> Da
     cheap = written(_first_pass(rows), "record-invariants")
     bits = sketch.bits_for(cheap.count(), most=27)
     shared = sketch.counts(cheap, "c", bits) > 1
-    return written(_second_pass(rows, shared, bits), "record-keys")
+    return _linked(written(_second_pass(rows, shared, bits), "record-keys"))
 
 
 def records(keys: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import re
 from collections import defaultdict
 
@@ -116,6 +117,32 @@ def test_records_equal_brute_force(spark, data):
     assert sorted(map(tuple, records.copies(records.refined(table)).collect())) == want and want
 
 
+def test_records_of_any_size(spark):
+    long = [(f"campo {k:04d}", f"valor {k} " + "y" * 20) for k in range(1000)]
+    named = [("Data de entrega do pedido", "hoje"), ("x" * 70, "1")]
+    prose = "Como assinar: as dicas\nNo fim da tarde. Ao rever o acordo, o relator disse: não"
+    texts = [
+        "\n".join(f"{a}: {b}" for a, b in long), "; ".join(f"{a} = {b}" for a, b in long[::-1]), json.dumps(dict(long)),
+        "\n".join(f"{a}: {b}" for a, b in named), json.dumps(dict(named[::-1])), " | ".join(f"{a}={b}" for a, b in named[::-1]),
+        prose, prose.replace(":", " -"),
+    ]
+    assert len(texts[0]) > 20_000
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_number bigint, text string")
+    keys = records.refined(rows)
+    assert sorted(map(tuple, records.copies(keys).collect())) == [(0, 1), (0, 2), (3, 4), (3, 5), (6, 7)]
+    assert {r["kept_row"]: r["copies"] for r in records.records(keys).collect()} == {0: 3, 3: 3, 6: 2}
+    # linear, whatever does not parse
+    for odd in ("a:" + " " * 200_000 + "b\nc", '{"a": 1' + " " * 200_000 + '"}', '{"' + "x" * 200_000 + "}", "a" * 200_000 + ";" + "b:c"):
+        assert records.named_fields(odd) is None
+
+
+def test_records_chain_by_letters_and_pairs(spark):
+    # the same pairs, then the same letters, then the same pairs again
+    texts = ["B: c\nAx: d", "Ax: d\nB: c", "A: xd\nB: c", "B: c\nA: xd", "A: xd\nC: b"]
+    keys = records.refined(spark.createDataFrame(list(enumerate(texts)), "row_number bigint, text string"))
+    assert sorted(map(tuple, records.copies(keys).collect())) == [(0, 1), (0, 2), (0, 3)]
+
+
 def test_invariant_is_blind_to_order():
     assert records.invariant("abc") == records.invariant("cab") != records.invariant("abd")
     assert records.invariant("\U0001d52bab") == records.invariant("ba\U0001d52b")
