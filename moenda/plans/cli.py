@@ -11,6 +11,10 @@ from ..runtime import session
 from . import pipeline
 
 
+def _candidates(value: str) -> int | str:
+    return value if value == pipeline.ALL else int(value)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="moenda")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -24,6 +28,8 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("--page-markers", help="JSON with the arguments of filters.PageRules; needs the columns of the page filters")
         sub.add_argument("--eval-reserve", type=int, default=256)
         sub.add_argument("--output", default="output")
+        if name == "capacity":
+            sub.add_argument("--candidate-documents", type=_candidates, default=pipeline.ALL, help="number of documents looked at, whatever the profile; all by default")
     for name in ("validate", "inspect"):
         commands.add_parser(name).add_argument("--path", required=True)
     allocate = commands.add_parser("allocate")
@@ -56,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
             spec = pipeline.Spec(args.dataset, args.profile, decision=args.decision, line_characters=args.line_characters, page_markers=markers)
             documents = spark.read.parquet(args.documents)
             try:
-                result = pipeline.run(spark, documents, spec, args.output) if args.command == "run" else pipeline.capacity(documents, spec, eval_reserve=args.eval_reserve)
+                result = pipeline.run(spark, documents, spec, args.output) if args.command == "run" else pipeline.capacity(documents, spec, eval_reserve=args.eval_reserve, candidate_documents=args.candidate_documents)
             except pipeline.ReviewRequired as gate:
                 print(f"review required: {gate}", file=sys.stderr)
                 return gate.exit_code

@@ -229,19 +229,28 @@ def validate_preparation(spark: SparkSession, folder: str) -> dict:
     return manifest
 
 
-def capacity(documents: DataFrame, spec: Spec, record_capped: bool = False, eval_reserve: int = 256) -> dict:
+#: Every document is a candidate.
+ALL = "all"
+
+
+def capacity(documents: DataFrame, spec: Spec, record_capped: bool = False, eval_reserve: int = 256, candidate_documents: int | str | None = None) -> dict:
     """Sequences a data set can give beside the evaluation reserve.
 
+    ``candidate_documents`` overrides the profile's number; ``ALL`` is no limit.
     ``exact`` if every document was looked at, else ``lower_bound``.
     """
-    wanted = spec.budget.candidate_documents
+    wanted = spec.budget.candidate_documents if candidate_documents is None else candidate_documents
+    if wanted != ALL and (isinstance(wanted, bool) or not isinstance(wanted, int) or wanted < 1):
+        raise ValueError(f"candidate documents must be a positive number or {ALL}, not {wanted!r}")
     require_columns(documents, spec)
     if spec.decision == "pending":
         raise ReviewRequired(spec.dataset_id)
-    seen = eligible(documents, spec).orderBy("position").limit(wanted)
+    seen = eligible(documents, spec)
+    if wanted != ALL:
+        seen = seen.orderBy("position").limit(wanted)
     report = pack.capacity(pack.split_by_budget(records_of(survivors(reviewed(seen, spec)[0], spec)), eval_reserve, spec.seed), eval_reserve).first()
     n = seen.count()
-    found = {"dataset_id": spec.dataset_id, "capacity_kind": "exact" if n < wanted and not record_capped else "lower_bound", "documents": n, "train_sequences": report["train_sequences"] if report else 0, "eval_reserved": bool(report and report["eval_reserved"])}
+    found = {"dataset_id": spec.dataset_id, "capacity_kind": "exact" if (wanted == ALL or n < wanted) and not record_capped else "lower_bound", "candidate_documents": wanted, "documents": n, "train_sequences": report["train_sequences"] if report else 0, "eval_reserved": bool(report and report["eval_reserved"])}
     if not found["eval_reserved"]:
         raise ValueError(f"{spec.dataset_id} can't reserve {eval_reserve} evaluation sequences")
     return found | {"capacity_report_id": content_id(**found)}

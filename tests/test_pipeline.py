@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from moenda.plans import manifest, pipeline
+from moenda.plans import cli, manifest, pipeline
 from moenda.sources import archive, files
 from moenda.streaming import ingest
 
@@ -115,6 +115,30 @@ def test_capacity_and_allocation(documents):
         pipeline.allocate(reports, 7)
 
 
+def test_capacity_of_more_than_the_profile(spark, documents, tmp_path, capsys, monkeypatch):
+    spec = pipeline.Spec("x", profiles={"smoke": pipeline.Profile(8, 2, 20)})
+    less = pipeline.capacity(documents, spec, eval_reserve=2)
+    whole = pipeline.capacity(documents, spec, eval_reserve=2, candidate_documents=pipeline.ALL)
+    assert whole["capacity_kind"] == "exact" and whole["documents"] == 40 and whole["train_sequences"] > less["train_sequences"]
+    more = pipeline.capacity(documents, spec, eval_reserve=2, candidate_documents=30)
+    assert more["capacity_kind"] == "lower_bound" and more["documents"] == 30
+    for bad in (0, -1, True, "some"):
+        with pytest.raises(ValueError):
+            pipeline.capacity(documents, spec, candidate_documents=bad)
+    many = documents.crossJoin(spark.range(4)).withColumn("position", F.col("position") + 40 * F.col("id"))
+    many = many.select("position", F.concat("text", F.col("position").cast("string")).alias("text"), F.concat("source_ref", F.lit("-"), F.col("position").cast("string")).alias("source_ref"))
+    path = str(tmp_path / "d.parquet")
+    many.write.parquet(path)
+    monkeypatch.setattr(cli, "session", lambda: spark)
+
+    def called(*more):
+        assert cli.main(["capacity", "--documents", path, "--dataset", "x", "--eval-reserve", "2", *more]) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert called()["documents"] == 160 and called()["capacity_kind"] == "exact"
+    assert called("--candidate-documents", "128")["capacity_kind"] == "lower_bound"
+
+
 def test_stage_cache(spark, tmp_path):
     cache = pipeline.StageCache(str(tmp_path), "d", {"a": 1})
     assert cache.get(spark, "s", "f") is None
