@@ -6,7 +6,8 @@ per site over pages of different content.  Containers that recur on many pages o
 site are template; of the others, the one that holds the headline and most text of
 its own is the main body.  What lies inside it in a container of its own
 (teasers, share prompts, advertising) goes if it recurs, or if its place does and it is
-short; what lies outside goes.  The lines of the visible text are aligned with the
+short, with all that lies in it; figures and tables go only if they recur, and cells go with
+their table; what lies outside goes.  The lines of the visible text are aligned with the
 letters of the html, in order, and take the decision of their container.
 
 Lines without html (it is null, cut or another page's) are decided by what the same
@@ -31,11 +32,13 @@ from .skew import join_counted
 #: Elements that hold blocks, elements without content or end.
 CONTAINERS = frozenset("body main article section div aside nav header footer form table td th fieldset figure dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Parts of an article wherever they stand, and parts of these.
+PARTS, CELLS = frozenset(("figure", "table")), frozenset(("td", "th"))
 HIDDEN = frozenset("head script style noscript template title".split())
 
 #: A subtree recurs if so many pages of a site, of different content, hold it.
 MIN_PAGES = 3
-#: Letters from which a container within the main body may be a part of it.
+#: Letters from which a container within the main body is a part of it though its place recurs.
 OWN_LETTERS = 400
 #: Letters that the headline is worth in the choice of the main body.
 HEADLINE_LETTERS = 2_000
@@ -57,10 +60,10 @@ def letters(text: str) -> str:
 class Tree:
     """Containers of a page and the letters of its html in order."""
 
-    __slots__ = ("parent", "path", "own", "spans", "stream", "ends", "complete")
+    __slots__ = ("parent", "path", "part", "own", "spans", "stream", "ends", "complete")
 
     def __init__(self, html: str):
-        self.parent, self.path, self.own = [-1], [h64("body")], [0]
+        self.parent, self.path, self.part, self.own = [-1], [h64("body")], [0], [0]  # part: 1 of PARTS, 2 of CELLS
         self.spans: list[tuple[int, int, int]] = []  # start, end, container
         self.ends = [0]
         parts: list[str] = []
@@ -105,6 +108,7 @@ class Tree:
                 name = " ".join(x.strip("\"'") for x in _CLASS.findall(m[3]))
                 self.parent.append(above)
                 self.path.append(h64(f"{self.path[above]}>{tag}.{name}"))
+                self.part.append(1 if tag in PARTS else 2 if tag in CELLS else 0)
                 self.own.append(0)
                 self.ends.append(at)
                 stack.append((tag, len(self.parent) - 1))
@@ -166,7 +170,7 @@ def aligned(lines: list[str], tree: Tree) -> list[int]:
 
 PARSED = (
     "row_number bigint, host bigint, content bigint, complete boolean, "
-    "containers array<struct<subtree:bigint,place:bigint,parent:int,own:int,headline:boolean>>, "
+    "containers array<struct<subtree:bigint,place:bigint,parent:int,part:int,own:int,headline:boolean>>, "
     "lines array<struct<no:int,container:int,site:bigint,masked:bigint,prefix:bigint,kind:int>>"
 )
 
@@ -189,8 +193,8 @@ def parse_page(row: int, host: str | None, title: str | None, text: str, html: s
         if head:
             for start, end, c in tree.spans:
                 direct.setdefault(c, []).append(tree.stream[start:end])
-        for c, (path, up, size) in enumerate(zip(tree.path, tree.parent, tree.own)):
-            containers.append({"subtree": h64(f"{host_key}|{path}|{below[c]}"), "place": h64(f"{host_key}|{path}"), "parent": up, "own": size, "headline": bool(head) and any(head in x for x in direct.get(c, ()))})
+        for c, (path, up, part, size) in enumerate(zip(tree.path, tree.parent, tree.part, tree.own)):
+            containers.append({"subtree": h64(f"{host_key}|{path}|{below[c]}"), "place": h64(f"{host_key}|{path}"), "parent": up, "part": part, "own": size, "headline": bool(head) and any(head in x for x in direct.get(c, ()))})
     lines = []
     for no, (line, key, place) in enumerate(zip(raw, own, places)):
         if not line.strip():
@@ -225,22 +229,30 @@ def main_container(containers: list[dict], recurs: dict[int, int], complete: boo
 def container_labels(containers: list[dict], recurs: dict[int, int], complete: bool) -> list[int]:
     """MAIN or AROUND for each container, UNKNOWN where the main body can't be told."""
     main = main_container(containers, recurs, complete)
+    below = [x["own"] for x in containers]
+    for c in range(len(containers) - 1, 0, -1):
+        below[containers[c]["parent"]] += below[c]
     out = []
+    stays = []  # within the main body, and in no container that goes
     for c, x in enumerate(containers):
         again = recurs.get(x["subtree"], 0) >= MIN_PAGES
         if main is None:
             out.append(AROUND if again and x["own"] else UNKNOWN)
             continue
-        inside, up = False, x["parent"]
-        while up >= 0:
-            inside |= up == main
-            up = containers[up]["parent"]
+        up = x["parent"]
         if c == main:
             out.append(MAIN)
-        elif inside and not again and x["own"] >= OWN_LETTERS and recurs.get(x["place"], 0) < MIN_PAGES:
-            out.append(MAIN)
-        else:
+            stays.append(True)
+        elif up < 0 or not stays[up]:
             out.append(AROUND)
+            stays.append(False)
+        elif x["part"] == 2 and up != main:
+            out.append(out[up])
+            stays.append(True)
+        else:
+            placed = not x["part"] and recurs.get(x["place"], 0) >= MIN_PAGES
+            out.append(AROUND if again or (placed and x["own"] < OWN_LETTERS) else MAIN)
+            stays.append(not again and not (placed and below[c] < OWN_LETTERS))
     return out
 
 

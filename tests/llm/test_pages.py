@@ -40,6 +40,29 @@ def test_surroundings(stored):
     assert clean[0]["text"].startswith("Artigo") and clean[0]["removed"] == 4 and clean[10]["text"] is None and clean[9]["text"] == "  \nsó isto\n"
 
 
+def test_parts_of_an_article_stay(spark):
+    def own(k, n):
+        return " ".join(f"{'abcdefghij'[k]}{'klmnopqrst'[j % 10]}{'uvwxyz'[j // 10 % 6]}palavra" for j in range(n)).capitalize() + "."
+
+    rows = []
+    for k in range(6):
+        head = f"Manchete {'abcdefghij'[k] * 5} do dia"
+        once = f"<div class='caixa-{k}'><p>Nota sobre {'klmnopqrst'[k] * 6}</p></div>"  # its place is on this page only
+        cells = f"<table><tr><th>Origem</th><td>Terra {'abcdefghij'[k] * 4}</td></tr></table>"
+        figure = f"<figure><img><figcaption>Foto de {'uvwxyz'[k] * 7} na praça</figcaption></figure>"
+        sections = "".join(f"<section class='s'><p>{own(k, 60 + j)} {'abcdefghij'[k] * (j + 2)}</p></section>" for j in range(2))
+        teaser = f"<div class='rel'><p>Leia mais {'klmnopqrst'[k] * 3}</p><div class='post-{k}'><p>Outra {'klmnopqrst'[k] * 4}</p></div></div>"
+        share = "<div class='sh'><p>Copiar link</p></div>"
+        html = f"<html><body><nav>Início</nav><main><h1>{head}</h1><p>Abertura {own(k, 8)}</p>{figure}{cells}{once}{sections}{teaser}{share}</main></body></html>"
+        text = "\n".join(x.strip() for x in re.split(r"<[^>]+>", html) if x.strip())
+        rows.append((k, str(k), "s", None, f"{head} | Sítio", text, html, "x"))
+    got = defaultdict(set)
+    lines_of = {r[0]: r[5].split("\n") for r in rows}
+    for r in pages.surroundings(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r["row_number"]].add(lines_of[r["row_number"]][r["line_no"]].split()[0])
+    assert all(got[k] == {"Início", "Leia", "Outra", "Copiar"} for k in range(6)), got
+
+
 def test_no_rows(stored):
     assert pages.surroundings(stored.filter("false")).count() == 0
     assert lines.repeated_lines(stored.filter("false")).count() == 0
