@@ -83,7 +83,7 @@ _COMPILED = [re.compile(p) for p in PATTERNS.values()]
 TRIGGERS = frozenset(
     [*INSULTS, *SEXUAL, "\x01"]
     + """puta pedaco piece foder ferrar catar tomar inferno infierno diablo enfia cala lava some desaparece morre vete callate largate hell fuck up your get dead
-    te suporta aguenta odio nojo vomitar ansia espelho nada vergonha devia existencia likes stand atras sei olho andando implorar trancar troco vou mato know
+    te suporta aguenta mae odio nojo vomitar ansia espelho nada vergonha devia existencia likes stand atras sei olho andando implorar trancar troco vou mato know
     will voy donde praga plaga ladroes vermes bandidos esta reconheco raca nasceram fora alugo excecao voltem esvaziar queimar cercar varrer barrio personas
     debaixo apanhar suja ground raza place honesto era presta vermin driven robo back anal tarja censura manda mando send acompanhante procuro chama clique
     entra acesse assine webcam live fotos you opiniao nivel volta waste favour favor find maca arrepentir regret duro lingua""".split()

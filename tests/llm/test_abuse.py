@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +19,40 @@ def test_disguises(text):
     assert "babaca" in words(text)[0].split() and any(abuse.votes_of(abuse.units(text)))
 
 
+def spelled(parsed):
+    """Every text that a parsed pattern stands for; word characters are x."""
+    texts = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(x) if str(kind) == "LITERAL" else "x" for kind, x in arg]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in spelled(branch)]
+        elif name == "SUBPATTERN":
+            more = spelled(arg[3])
+        elif name == "MAX_REPEAT":
+            more = [""] * (arg[0] == 0) + spelled(arg[2])
+        else:
+            assert name == "AT"
+            more = [""]
+        texts = [a + b for a in texts for b in more]
+    return texts
+
+
+@pytest.mark.parametrize("voter", [v for v in abuse.VOTERS if v not in abuse.AGAINST])
+def test_each_alternative_votes_by_itself(voter):
+    bit = 1 << abuse.VOTERS.index(voter)
+    alternatives = spelled(re._parser.parse(abuse.PATTERNS[voter]))
+    assert alternatives and [x for x in alternatives if not abuse.votes_of([x.split()])[0] & bit] == []
+
+
+@pytest.mark.parametrize("text", ["nem a tua mãe gosta disso"])
+def test_contempt_by_itself(text):
+    assert abuse.votes_of(abuse.units(text))[0] & 1 << abuse.VOTERS.index("contempt")
+
+
 def test_units():
     assert words("Um. Dois três!\n\nquatro") == ["um", "dois tres", "quatro"]
     assert all(len(u) <= abuse.WINDOW for u in abuse.units("a " * 1000)) and abuse.units("") == [] and abuse.units("...") == []
