@@ -44,7 +44,7 @@ PATTERNS = {
     "order": r"\b(?:vai (?:se |te )?(?:foder|ferrar|catar)|vai tomar no|vai para o inferno|vai pro inferno|va se (?:foder|ferrar)|enfia ess[ea]|cala (?:a|essa) boca|lava essa boca|some daqui|desaparece|morre longe|vete al (?:infierno|diablo)|callate|largate|go to hell|fuck (?:you|off)|shut (?:up|your)|get lost|drop dead)\b",
     "contempt": r"\b(?:ninguem (?:te (?:suporta|chamou)|aguenta (?:olhar|mais ler))|nem a tua mae|te suporta|que (?:odio|nojo) daquel[ea]|vontade de vomitar|(?:me da|da) ansia|opiniao vale menos|gente do teu nivel|volta para o esgoto|waste of air|do everyone a favou?r|quebra espelho|nao vale nada|vergonha e devia|ninguem te|devia (?:se esconder|acabar|sumir)|tua existencia|nobody (?:likes|can stand)|nadie te)",
     "threat": r"\b(?:vou atras de (?:voce|ti)|se eu te (?:encontrar|achar|pegar|ver)|eu sei (?:onde|a que horas|em que)|dorme com um olho|nao volta andando|vai implorar|trancar a porta|vai ter troco|vou (?:te )?(?:quebrar|matar|bater|acabar)|te quebr\w+|te mato|i know where you|i will (?:find|kill)|te voy a|se donde vives|if i find you|vais sair de maca|te vas a arrepentir|you will regret)\b",
-    "group_hate": r"\b(?:sao uma praga|sao (?:todos )?(?:ladroes|vermes|bandidos)|esta no sangue|raca (?:imunda|inferior|maldita)|nasceram para servir|fora com todos|nao alugo casa|sangue de \w+ (?:do \w+ )?eu reconheco|nao existe excecao|voltem para|(?:esvaziar|queimar|cercar|varrer) o bairro|ninguem honesto tera|era limpa ate|tambem nao presta|are vermin|should be driven|llevan el robo|son una plaga|no son personas|vacien el barrio|debaixo da terra|merece apanhar|suja o nome|under the ground|raza asquerosa|only good place for|go back to)\b",
+    "group_hate": r"\b(?:sao uma praga|sao (?:todos )?(?:ladroes|vermes|bandidos)|esta no sangue|raca (?:imunda|inferior|maldita)|nasceram para servir|fora com todos|nao alugo casa|sangue de \w+ (?:do \w+ )?eu|nao existe excecao|voltem para|(?:esvaziar|queimar|cercar|varrer) o bairro|ninguem honesto tera|era limpa ate|tambem nao presta|are vermin|should be driven|llevan el robo|son una plaga|no son personas|vacien el barrio|debaixo da terra|merece apanhar|suja o nome|under the ground|raza asquerosa|only good place for|go back to)\b",
     "sexual": rf"\b(?:{'|'.join(SEXUAL)}|oral e anal|pau duro|lingua ate|sem tarja|sin censura|sem censura)\b",
     "solicitation": r"\b(?:manda foto|mando nudes|send nudes|acompanhante de luxo|procuro (?:casal|mulher|homem)|me chama agora|clique ja|entra ya|(?:acesse|assine) o canal|(?:webcam|live|fotos) de (?:bundas|peitos|rolas)|show you my)\b",
     "disguised": r"\x01",
@@ -84,7 +84,7 @@ TRIGGERS = frozenset(
     [*INSULTS, *SEXUAL, "\x01"]
     + """puta pedaco piece foder ferrar catar tomar inferno infierno diablo enfia cala lava some desaparece morre vete callate largate hell fuck up your get dead
     te suporta aguenta mae odio nojo vomitar ansia espelho nada vergonha devia existencia likes stand atras sei olho andando implorar trancar troco vou mato know
-    will voy donde praga plaga ladroes vermes bandidos esta reconheco raca nasceram fora alugo excecao voltem esvaziar queimar cercar varrer barrio personas
+    will voy donde praga plaga ladroes vermes bandidos esta sangue raca nasceram fora alugo excecao voltem esvaziar queimar cercar varrer barrio personas
     debaixo apanhar suja ground raza place honesto era presta vermin driven robo back anal tarja censura manda mando send acompanhante procuro chama clique
     entra acesse assine webcam live fotos you opiniao nivel volta waste favour favor find maca arrepentir regret duro lingua""".split()
 )

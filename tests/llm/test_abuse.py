@@ -53,6 +53,11 @@ def test_contempt_by_itself(text):
     assert abuse.votes_of(abuse.units(text))[0] & 1 << abuse.VOTERS.index("contempt")
 
 
+@pytest.mark.parametrize("text", ["sangue de cigano eu conheço de longe", "sangue de índio do mato eu não quero aqui", "sangue de cigano eu reconheço"])
+def test_group_hate_goes_on_in_any_way(text):
+    assert abuse.votes_of(abuse.units(text))[0] & 1 << abuse.VOTERS.index("group_hate")
+
+
 def test_units():
     assert words("Um. Dois três!\n\nquatro") == ["um", "dois tres", "quatro"]
     assert all(len(u) <= abuse.WINDOW for u in abuse.units("a " * 1000)) and abuse.units("") == [] and abuse.units("...") == []
