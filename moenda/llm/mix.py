@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,8 +26,18 @@ from ..runtime import written
 CELL = ["source", "language", "topic"]
 #: Rates are broadcast up to this number of rows (cells times mixes, not documents).
 BROADCAST_RATES = 100_000
-#: Parts of the sampling order whose tokens are added up before the cut is looked for.
-ORDER_PARTS = 1 << 14
+#: Parts of each octave of the sampling order whose tokens are added up before the cut is looked for.
+OCTAVE_PARTS = 1 << 12
+
+
+def place_of(at: Column) -> Column:
+    """Part of the sampling order that a positive number falls in.
+
+    Parts are even within each octave, so whatever the probability that divides the hash,
+    no part holds more than 1 / OCTAVE_PARTS of the documents that have it.
+    """
+    octave = F.floor(F.log2(at))
+    return F.floor((octave + at / F.pow(F.lit(2.0), octave) - 1) * OCTAVE_PARTS).cast("int")
 
 
 def fill(goal: float, weights: np.ndarray, caps: np.ndarray) -> np.ndarray:
@@ -149,8 +159,8 @@ class Mixes:
         side = F.broadcast(rates) if rates.count() <= BROADCAST_RATES else rates
         rows = self.sized.join(side, CELL)
         unit = (F.shiftrightunsigned(F.xxhash64("mix_id", "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        rows = rows.select("mix_id", "doc_id", "source", "tokens", "whole", "part", F.when(F.col("part") > 0, F.least(unit / F.col("part"), F.lit(2.0))).alias("at"))
-        rows = rows.withColumn("place", F.floor(F.col("at") * (ORDER_PARTS / 2)).cast("int"))
+        rows = rows.select("mix_id", "doc_id", "source", "tokens", "whole", "part", F.when(F.col("part") > 0, unit / F.col("part")).alias("at"))
+        rows = rows.withColumn("place", place_of(F.col("at")))
         extra = rates.join(self.sized.groupBy(*CELL).agg(F.sum("tokens").alias("cell_tokens")), CELL).groupBy("mix_id", "source").agg(F.sum(F.col("part") * F.col("cell_tokens")).alias("wanted"))
         mass = rows.filter("place is not null").groupBy("mix_id", "source", "place").agg(F.sum("tokens").alias("mass"))
         before = F.coalesce(F.sum("mass").over(W.partitionBy("mix_id", "source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from moenda.llm import binpack, mix, overlap
 
@@ -153,3 +154,27 @@ def test_mixes(spark):
         tok[lang[r["doc_id"]]] += r["uses"] * r["tokens"]
     assert tok["pt"] > 2 * tok["es"]
     assert mix.Mixes(sized.filter("false"), goals).uses().count() == 0
+
+
+def test_sampling_order_holds_over_the_whole_range(spark):
+    # one document holds nearly all tokens, so most others come after twice the hash's range
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.lit("m"), "id"), 11).alias("u")).collect()
+    order = [r["doc_id"] for r in sorted(ids, key=lambda r: r["u"])]
+    huge = order[-1]
+    docs = [(k, "s", "pt", "t", 1_000_000 if k == huge else 1) for k in range(3000)]
+    sized = spark.createDataFrame(docs, "doc_id bigint, source string, language string, topic string, tokens bigint")
+    goals = spark.createDataFrame([("m", "s", 1.0, None, 0.001)], "mix_id string, source string, target_weight double, max_repeats int, size_ratio double")
+    used = {r["doc_id"] for r in mix.Mixes(sized, goals).uses().collect()}
+    wanted = 0.001 * sum(d[4] for d in docs)
+    assert used == {k for n, k in enumerate(order[:-1]) if n + 0.5 < wanted} and len(used) > 1000
+
+
+def test_sampling_order_is_spread(spark):
+    n = 100_000
+    unit = (F.shiftrightunsigned(F.xxhash64("id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    for part in (1.0, 0.3, 1e-3, 1e-12):
+        rows = spark.range(n).select((unit / F.lit(part)).alias("at"))
+        rows = rows.withColumn("place", mix.place_of(F.col("at")))
+        assert rows.groupBy("place").count().agg(F.max("count")).first()[0] < 3 * n / mix.OCTAVE_PARTS
+        places = [r["place"] for r in sorted(rows.collect())]
+        assert places == sorted(places)
