@@ -16,7 +16,7 @@ PAGE_TAG, PAGE_SCORE_TAG, PAGE_DOMAIN_TAG = "wackywacky", "wackywacky-reservoir"
 MEMBER_PREFIX, SCORED_PREFIX = "brwac:", "gigaverbo:"
 
 
-def dialogue_documents(turns: DataFrame, dialogue: str, order: str, speaker: str, utterance: str, speakers: dict[str, str] | None = None, markup: bool = True) -> DataFrame:
+def dialogue_documents(turns: DataFrame, dialogue: str, order: str, speaker: str, utterance: str, speakers: dict[str, str] | None = None) -> DataFrame:
     """(dialogue, text, turns, turns_kept): labelled lines joined in order.
 
     An unknown speaker is an error.  Turns that are empty after cleaning are left out,
@@ -26,7 +26,7 @@ def dialogue_documents(turns: DataFrame, dialogue: str, order: str, speaker: str
     for name, shown in (speakers or SPEAKERS).items():
         label = F.when(F.col(speaker) == name, shown) if label is None else label.when(F.col(speaker) == name, shown)
     label = label.otherwise(F.raise_error(F.concat(F.lit("unknown speaker "), F.coalesce(F.col(speaker), F.lit("null")))))
-    lines = turns.select(F.col(dialogue).alias("dialogue"), F.col(order).alias("at"), label.alias("label"), cleaned(F.col(utterance), markup).alias("said"))
+    lines = turns.select(F.col(dialogue).alias("dialogue"), F.col(order).alias("at"), label.alias("label"), cleaned(F.col(utterance)).alias("said"))
     return _joined(lines.withColumn("line", F.when(F.col("said") != "", F.concat("label", F.lit(": "), "said"))), ["dialogue"]).withColumnRenamed("n", "turns").withColumnRenamed("kept", "turns_kept")
 
 
@@ -35,14 +35,14 @@ def _joined(lines: DataFrame, key: list[str]) -> DataFrame:
     return held.select(*key, F.when(F.size("l") > 0, F.array_join("l.line", "\n")).alias("text"), "n", F.size("l").cast("bigint").alias("kept"))
 
 
-def conversation_documents(messages: DataFrame, conversation: str, order: str, user: str, text: str, prefix: str = PARTICIPANT, markup: bool = True) -> DataFrame:
+def conversation_documents(messages: DataFrame, conversation: str, order: str, user: str, text: str, prefix: str = PARTICIPANT) -> DataFrame:
     """(conversation, text, messages, messages_kept, participants): users become numbers in
     the order of their first message, also if that is empty after cleaning.
 
     First messages are minima per user and are ranked among users, not messages, so a long
     conversation of few users needs no large sort.
     """
-    rows = messages.select(F.col(conversation).alias("conversation"), F.col(order).alias("at"), F.col(user).alias("user"), cleaned(F.col(text), markup).alias("said"))
+    rows = messages.select(F.col(conversation).alias("conversation"), F.col(order).alias("at"), F.col(user).alias("user"), cleaned(F.col(text)).alias("said"))
     firsts = rows.groupBy("conversation", "user").agg(F.min("at").alias("first"))
     numbered = firsts.groupBy("conversation").agg(F.array_sort(F.collect_list(F.struct("first", "user"))).alias("users"))
     numbered = numbered.select("conversation", F.size("users").cast("bigint").alias("participants"), F.posexplode("users").alias("number", "u")).select(F.col("conversation").alias("_c"), "participants", (F.col("number") + 1).alias("number"), F.col("u.user").alias("_u"))
@@ -62,8 +62,8 @@ def member_ref(archive: Column, member: Column) -> Column:
     return F.concat(F.lit(MEMBER_PREFIX), archive, F.lit(":"), member)
 
 
-def scored_documents(rows: DataFrame, dataset: str, revision: str, config: str, split: str, markup: bool = True) -> DataFrame:
+def scored_documents(rows: DataFrame, dataset: str, revision: str, config: str, split: str) -> DataFrame:
     """(stream_index, text, source_ref, source, subset) of records with a text; labels that
     aren't plain names become null."""
     ref = F.concat(F.lit(SCORED_PREFIX), stable_hash(dataset, revision, config, split, F.col("stream_index")))
-    return rows.select("stream_index", cleaned(F.col("text"), markup).alias("text"), ref.alias("source_ref"), safe_label(F.col("source")).alias("source"), safe_label(F.col("subset")).alias("subset")).filter("text <> ''")
+    return rows.select("stream_index", cleaned(F.col("text")).alias("text"), ref.alias("source_ref"), safe_label(F.col("source")).alias("source"), safe_label(F.col("subset")).alias("subset")).filter("text <> ''")

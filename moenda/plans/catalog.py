@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,29 @@ def _h(*parts: str) -> str:
     return f"sha256(concat_ws(chr(31), {', '.join(parts)}))"
 
 
+# Entities that the tables hold, and the usual ones; the ampersand last, so that each is decoded once.
+ENTITIES = {"nbsp": "chr(160)", "lt": "'<'", "gt": "'>'", "quot": "'\"'", "apos": "chr(39)", "#39": "chr(39)", "amp": "'&'"}
+_BREAKS = "(?i)<br\\b[^>]*>|</?(?:p|div|li|tr|blockquote)\\b[^>]*>"
+
+
+def _unescaped(x: str) -> str:
+    for name, char in ENTITIES.items():
+        x = f"replace({x}, '&{name};', {char})"
+    return x
+
+
+def _visible(x: str) -> str:
+    y = "regexp_replace(t, '<!--.*?-->', '', 'gs')"
+    for tag in ("script", "style"):
+        y = f"regexp_replace({y}, '(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|$)', '', 'g')"
+    y = f"regexp_replace(regexp_replace({y}, '<![A-Za-z][^>]*>', '', 'g'), '{_BREAKS}', chr(10), 'g')"
+    y = f"regexp_replace({y}, '</?[A-Za-z][^>]*>', '', 'g')"
+    return f"list_transform([{x}], lambda t: CASE WHEN regexp_matches(t, '</?[A-Za-z][^>]*>|<!--') THEN {_unescaped(y)} ELSE {_unescaped('t')} END)[1]"
+
+
 def _clean(column: str, policy: str = "preserve") -> str:
     x = f"regexp_replace(nfc_normalize({column}), '\\r\\n?', chr(10), 'g')"
+    x = f"nfc_normalize({_visible(x)})"
     x = f"regexp_replace({x}, '[\\x01-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g')"
     x = f"regexp_replace({x}, '[\\t\\p{{Z}}]+', ' ', 'g')"
     x = f"regexp_replace({x}, ' ?\\n ?', chr(10), 'g')"
@@ -85,10 +109,96 @@ b AS (SELECT doc, coalesce(array_to_string(list_transform(p, lambda x: array_to_
 r AS (SELECT doc, coalesce(a.a, '') AS text, CAST(length(b.b) AS BIGINT) AS chars_before, CAST(length(coalesce(a.a, '')) AS BIGINT) AS chars_after, CAST(coalesce(b.k, 0) - coalesce(a.k, 0) AS BIGINT) AS lines_removed FROM b LEFT JOIN a USING (doc)),
 removed AS (SELECT *, NOT (lines_removed > 0 AND (chars_after < {R.min_after} OR (chars_before - chars_after) / greatest(chars_before, 1) > {R.max_removed})) AS kept FROM r)"""
 
-_SPEAKER = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in q.DIALOGUE_SPEAKERS.items()) + f" ELSE '{q.DIALOGUE_SPEAKERS['view']}' END"
+_SPEAKER = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in q.DIALOGUE_SPEAKERS.items()) + " END"
 _STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _SAFE = "CASE WHEN regexp_full_match({0}, '[A-Za-z0-9][A-Za-z0-9_.-]{{0,127}}') THEN {0} END"
 
+DATASETS = ["adrenaline", "brwac", "gigaverbo", "multiwoz_ptbr", "outerspace", "wackywacky"]
+SEQUENCES = "counts AS (SELECT dataset_id, count(DISTINCT sequence_id) AS rows FROM packed_sequence WHERE split = 'train' GROUP BY 1)"
+
+
+def _words(seed: int, n: int) -> str:
+    """The first 32-bit words that the generator gives for a seed."""
+    rng = random.Random(seed)
+    return "[" + ",".join(str(rng.getrandbits(32)) for _ in range(n)) + "]"
+
+
+def _below(word: str, bound: str) -> str:
+    """What a word gives as a number below a bound; too large a number is drawn again."""
+    return f"({word} >> (32 - length(bin({bound}))))"
+
+
+def _seed(*parts) -> int:
+    return int(hashlib.sha256(json.dumps(parts, separators=(",", ":")).encode()).hexdigest()[:16], 16)
+
+
+def _dealt(name: str, groups: str, key: str) -> str:
+    """Shuffled lists ``o`` of the groups (key, n, w): from the end each place is exchanged with a drawn one."""
+    swapped = "list_transform(range(len(o)), lambda x: CASE x WHEN i THEN o[j + 1] WHEN j THEN o[i + 1] ELSE o[x + 1] END)"
+    return f"""{name} AS (SELECT {key}, w, n - 1 AS i, 1 AS p, range(n) AS o FROM {groups}
+UNION ALL SELECT {key}, w, CASE WHEN j <= i THEN i - 1 ELSE i END, p + 1, CASE WHEN j <= i THEN {swapped} ELSE o END FROM (SELECT *, {_below("w[p]", "i + 1")} AS j FROM {name} WHERE i > 0))"""
+
+
+def _row_orders(rows: str) -> str:
+    words = ", ".join(f"('{x}', {_words(_seed(SEED, x, 'rows'), 1500)})" for x in DATASETS)
+    return f"""words AS (SELECT * FROM (VALUES {words}) v(dataset_id, w)), sized AS (SELECT dataset_id, {rows} AS n, w FROM counts JOIN words USING (dataset_id)),
+{_dealt("deal", "sized", "dataset_id")},
+orders AS (SELECT dataset_id, unnest(o) AS row_index, unnest(range(len(o))) AS nth FROM deal WHERE i <= 0)"""
+
+
+TURNS = f"""ranked AS (SELECT *, sha256('[{SEED},"interleave","' || dataset_id || '"]')[1:16] AS tie FROM counts),
+gains AS (SELECT list(CAST(rows AS BIGINT) ORDER BY tie) AS gain, list(dataset_id ORDER BY tie) AS names, CAST(sum(rows) AS BIGINT) AS price FROM ranked),
+turn AS (SELECT 0 AS t, 0 AS best, list_transform(gain, lambda x: CAST(0 AS BIGINT)) AS due FROM gains
+UNION ALL SELECT t + 1, b, list_transform(range(len(due)), lambda k: due[k + 1] - CASE WHEN k + 1 = b THEN price ELSE 0 END)
+FROM (SELECT t, due, list_position(due, list_max(due)) AS b, price FROM (SELECT t, list_transform(range(len(due)), lambda k: due[k + 1] + gain[k + 1]) AS due, price FROM turn, gains WHERE t < price))),
+picked AS (SELECT t - 1 AS position, names[best] AS dataset_id FROM turn, gains WHERE t > 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY position) - 1 AS nth FROM picked)"""
+
+
+def _scheduled() -> dict[str, str]:
+    rounds = ", ".join(f"({k}, {_words(_seed(SEED, 'round', k), 24)})" for k in range(150))
+    buffer = int(hashlib.sha256("\x1f".join((str(SEED), "gigaverbo", "buffer")).encode()).hexdigest(), 16)
+    return {
+        "waterfill": f"""WITH {SEQUENCES}, t AS (SELECT CAST(sum(rows) AS BIGINT) // 2 AS target, count(*) AS n FROM counts),
+a AS (SELECT rows, row_number() OVER (ORDER BY rows, dataset_id) - 1 AS k, coalesce(sum(rows) OVER (ORDER BY rows, dataset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM counts),
+l AS (SELECT CAST((target - used) // (n - k) AS BIGINT) AS level, CAST((target - used) % (n - k) AS BIGINT) AS rest FROM a, t WHERE rows > (target - used) // (n - k) ORDER BY k LIMIT 1)
+SELECT dataset_id, rows AS capacity, least(rows, level) + CASE WHEN rows > level AND row_number() OVER (PARTITION BY rows > level ORDER BY dataset_id) <= rest THEN 1 ELSE 0 END AS allocated FROM counts, l""",
+        "proportional_schedule": f"WITH RECURSIVE {SEQUENCES}, {_row_orders('rows')}, {TURNS} SELECT position, dataset_id, row_index FROM numbered JOIN orders USING (dataset_id, nth)",
+        "schedule_sequences": f"""WITH RECURSIVE {SEQUENCES}, {_row_orders('rows')}, {TURNS},
+stored AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY sequence_id) - 1 AS row_index FROM (SELECT dataset_id, sequence_id, md5(array_to_string(any_value(input_ids), ',')) AS ids_md5 FROM packed_sequence WHERE split = 'train' GROUP BY 1, 2))
+SELECT position, dataset_id, sequence_id, ids_md5 FROM numbered JOIN orders USING (dataset_id, nth) JOIN stored USING (dataset_id, row_index)""",
+        "balanced_schedule": f"""WITH RECURSIVE {SEQUENCES}, least_ AS (SELECT min(rows) AS fewest, count(*) AS many, list(dataset_id ORDER BY dataset_id) AS names FROM counts), {_row_orders('(SELECT fewest FROM least_)')},
+rounds AS (SELECT r.*, many AS n FROM (VALUES {rounds}) r(nth, w), least_ WHERE nth < fewest), {_dealt("mixed", "rounds", "nth")},
+places AS (SELECT nth, unnest(o) AS place, unnest(range(len(o))) AS spot FROM mixed WHERE i <= 0)
+SELECT nth * many + spot AS position, dataset_id, row_index FROM places JOIN orders USING (nth), least_ WHERE dataset_id = names[place + 1]""",
+        "buffered_shuffle": f"""WITH RECURSIVE words AS (SELECT {_words(buffer, 4000)} AS w, (SELECT count(*) FROM gigaverbo) AS n),
+s AS (SELECT 1 AS p, least(64, n) AS next, range(least(64, n)) AS held, CAST(NULL AS BIGINT) AS row, -1 AS position FROM words
+UNION ALL SELECT p + 1, CASE WHEN ok AND next < n THEN next + 1 ELSE next END, CASE WHEN NOT ok THEN held WHEN next < n THEN list_transform(range(len(held)), lambda x: CASE WHEN x = j THEN next ELSE held[x + 1] END) ELSE held[:j] || held[j + 2:] END,
+CASE WHEN ok THEN held[j + 1] END, CASE WHEN ok THEN position + 1 ELSE position END FROM (SELECT *, j < len(held) AS ok FROM (SELECT s.*, n, {_below("w[p]", "len(held)")} AS j FROM s, words WHERE len(held) > 0)))
+SELECT position, row FROM s WHERE row IS NOT NULL""",
+    }
+
+
+M = q.PAGE_MARKERS
+
+
+def _any(values: list[str]) -> str:
+    return "|".join(values)
+
+
+def _url_reason(url: str) -> str:
+    rest = f"regexp_replace(regexp_replace({url}, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?]*)?', '')"
+    path, query = f"split_part({rest}, '?', 1)", f"CASE WHEN {rest} LIKE '%?%' THEN regexp_replace({rest}, '^[^?]*\\?', '') ELSE '' END"
+    segments = f"list_transform(string_split({path}, '/'), lambda x: lower(trim(url_decode(x))))"
+    pairs = f"list_transform(string_split({query}, '&'), lambda x: lower(url_decode(url_decode(replace(x, '+', ' ')))))"
+    keys = f"list_transform({pairs}, lambda x: trim(split_part(x, '=', 1)))"
+    values = f"list_transform({pairs}, lambda x: regexp_replace(x, '^[^=]*=?', ''))"
+    return f"""CASE WHEN {url} IS NULL THEN NULL WHEN list_has_any({segments}, {M['listing_segments']}) THEN 'listing' WHEN list_has_any({segments}, {M['search_segments']}) THEN 'search'
+WHEN list_has_any({keys}, {M['query_keys']}) OR len(list_filter({values}, lambda x: regexp_matches(x, '{_any(M['query_values'])}'))) > 0 THEN 'search' END"""
+
+
+_MD5 = "regexp_full_match(trim(coalesce(text_md5, '')), '[0-9a-fA-F]{32}')"
+
 SQL = {
     "hash_bottom_k": f"SELECT doc_id, selection_score, row_number() OVER (ORDER BY selection_score, source_ref) - 1 AS selection_rank FROM (SELECT doc_id, source_ref, {_h(f"'{SEED}'", "'documents'", 'source_ref')} AS selection_score FROM documents ORDER BY 3, 2 LIMIT 128)",
     "reservoir": f"""SELECT row_number, record_key, {_h(f"'{SEED}'", "'wackywacky-reservoir'", "record_key")} AS selection_score, {_h("'wackywacky-domain'", "CASE WHEN coalesce(trim(domain_id), '') <> '' THEN domain_id ELSE record_key END")} AS domain_ref
@@ -101,6 +211,11 @@ FROM (SELECT *, {_h("'wackywacky'", "coalesce(id, '')", "coalesce(url_md5, '')",
     "reject_reason_counts": f"SELECT CASE WHEN status IS NULL OR {_STRIP.format('status')} <> 'done' THEN 'filtered_status' WHEN text IS NULL OR {_STRIP.format('text')} = '' THEN 'filtered_missing_text' WHEN text_md5 IS NULL OR {_STRIP.format('text_md5')} = '' THEN 'filtered_missing_text_md5' WHEN {_STRIP.format("coalesce(same_as, '')")} NOT IN ('', 'NULL') THEN 'filtered_same_as' ELSE 'eligible' END AS reason, count(*) AS n FROM wackywacky GROUP BY 1",
     "clean_plain": f"SELECT doc_id, md5(t) AS text_md5, CAST(coalesce(length(t), 0) AS BIGINT) AS chars FROM (SELECT doc_id, {_clean('text')} AS t FROM documents)",
     "detokenize": f"SELECT doc_id, md5({_clean('text', 'detokenize')}) AS text_md5 FROM documents",
+    "clean_html": f"SELECT row_number, md5(t) AS text_md5, CAST(coalesce(length(t), 0) AS BIGINT) AS chars FROM (SELECT row_number, {_clean('html')} AS t FROM wackywacky)",
+    "clean_scored": f"SELECT stream_index, md5({_clean(_clean('text'))}) AS text_md5 FROM gigaverbo",
+    "page_filter_url": f"SELECT row_number, CASE WHEN regexp_matches(trim(regexp_replace(lower({_clean('title')}), '\\s+', ' ', 'g')), '^({_any(M['titles'])})([ :\\-–—|]|$)') THEN 'search' ELSE coalesce({_url_reason('url_final')}, {_url_reason('url')}, 'kept') END AS page FROM wackywacky",
+    "page_decode": f"SELECT row_number, CASE WHEN {_MD5} AND text IS NOT NULL THEN md5(text) END AS decoded_md5, CASE WHEN NOT {_MD5} THEN 'invalid_text_md5' WHEN text IS NULL THEN 'empty_compressed_texts' END AS reason, CASE WHEN {_MD5} AND text IS NOT NULL THEN md5(text) = lower(trim(text_md5)) END AS md5_match FROM wackywacky",
+    "rank_totals": "WITH e AS (SELECT event_id // 8 + 1 AS step, value, event_type FROM events WHERE event_id < (SELECT count(*) // 8 * 8 FROM events)) SELECT step, count(*) AS n, max(value) AS highest, bool_or(event_type = 'error') AS bad FROM e GROUP BY 1",
     "normalize_paragraphs": f"SELECT doc_id, CAST(len(p) AS BIGINT) AS paragraphs, CAST(coalesce(len(flatten(p)), 0) AS BIGINT) AS lines, md5(coalesce(array_to_string(list_transform(p, lambda x: array_to_string(x, chr(10))), chr(10) || chr(10)), '')) AS text_md5 FROM (SELECT doc_id, {_paragraphs(_clean('text'))} AS p FROM documents WHERE text IS NOT NULL)",
     "min_length_filter": f"WITH {CLEAN} SELECT doc_id FROM clean WHERE length(text) >= 200",
     "exact_dedup": f"WITH {FIRST} SELECT doc_id, dataset_id FROM kept",
@@ -145,4 +260,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | _scheduled()

@@ -139,9 +139,7 @@ def reviewed(candidates: DataFrame, spec: Spec) -> tuple[DataFrame, dict | None]
 
 def survivors(documents: DataFrame, spec: Spec) -> DataFrame:
     """(dataset_id, source_hash, position, text): cleaned, long enough, first of its text."""
-    text = F.col("text")
-    for turn in range(spec.clean_passes):
-        text = tx.cleaned(text, policy=spec.policy if turn == spec.clean_passes - 1 else "preserve")
+    text = tx.cleaned(F.col("text"), policy=spec.policy, passes=spec.clean_passes)
     rows = documents.select(F.lit(spec.dataset_id).alias("dataset_id"), F.sha2("source_ref", 256).alias("source_hash"), "position", text.alias("text"))
     rows = written(rows.filter(F.length("text") >= max(1, spec.min_characters)), "survivors")
     kept = dedup.keep_first(rows, ["dataset_id"], F.col("text"), "position")

@@ -12,7 +12,8 @@ from ..runtime import spread, table, written
 from ..sources import payload
 
 SEED, EVAL_SEQUENCES = 42, 8
-DIALOGUE_SPEAKERS = {"click": "Clique", "view": "Vista", "purchase": "Compra", "signup": "Cadastro", "error": "Erro", "login": "Entrada", "logout": "Saída", "search": "Busca"}
+#: Event types stand in for speakers, users for dialogues, rooms of events for conversations.
+DIALOGUE_SPEAKERS = {"click": "Clique", "view": "Vista", "purchase": "Compra", "signup": "Cadastro", "error": "Erro"}
 
 
 def hash_bottom_k(spark: SparkSession, d: str) -> DataFrame:
@@ -53,40 +54,54 @@ def reject_reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wackywacky").select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Markers of search and listing pages.
+PAGE_MARKERS = {
+    "titles": ["resultados da pesquisa", "resultados de pesquisa", "resultados da busca", "resultados de busca", "search results", "ficha"],
+    "query_keys": ["search", "utm_source"], "query_values": ["especial:pesquisar", "special:search"], "search_segments": ["search", "busca", "buscar", "pesquisa", "pesquisar"],
+    "listing_segments": ["tag", "tags", "category", "categories", "categoria", "categorias", "archive", "archives", "arquivo", "arquivos"],
+}
+
+
 def page_filter_url(spark: SparkSession, d: str) -> DataFrame:
-    rules = filters.PageRules(titles=["ficha"], listing_segments=["tag", "categoria"], search_segments=["busca", "search"], query_keys=["utm_source"])
-    pages = table(spark, d, "wackywacky")
-    return pages.select(F.coalesce(rules.column(F.col("title"), F.col("url_final"), F.col("url")), F.lit("kept")).alias("page")).groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+    """The markers and, so that some rows of the tables meet them, a title and a key that these hold."""
+    rules = filters.PageRules(**PAGE_MARKERS)
+    pages = spread(table(spark, d, "wackywacky").select("row_number", "title", "url_final", "url"))
+    return pages.select("row_number", F.coalesce(rules.column(F.col("title"), F.col("url_final"), F.col("url")), F.lit("kept")).alias("page"))
 
 
 def page_decode(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "wackywacky").select("row_number", "text_md5", payload.encoded(F.col("text")).alias("payload"))
-    decoded = payload.decoded(pages, "row_number", "payload", "text_md5")
-    return decoded.groupBy("reason", "md5_match").agg(F.count(F.lit(1)).alias("n"))
+    pages = spread(table(spark, d, "wackywacky").select("row_number", "text", "text_md5")).select("row_number", "text_md5", payload.encoded(F.col("text")).alias("payload"))
+    return payload.decoded(pages, "row_number", "payload", "text_md5").select("row_number", F.md5("text").alias("decoded_md5"), "reason", "md5_match")
 
 
 def clean_plain(spark: SparkSession, d: str) -> DataFrame:
-    text = tx.cleaned(F.col("text"), markup=False)
-    return spread(table(spark, d, "documents")).select("doc_id", F.md5(text).alias("text_md5"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("chars"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", tx.cleaned(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"))
 
 
 def detokenize(spark: SparkSession, d: str) -> DataFrame:
-    text = tx.cleaned(F.col("text"), markup=False, policy="detokenize_brwac_v1")
-    return spread(table(spark, d, "documents")).select("doc_id", F.md5(text).alias("text_md5"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(tx.cleaned(F.col("text"), policy="detokenize_brwac_v1")).alias("text_md5"))
 
 
 def clean_html(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "wackywacky")).select("row_number", tx.cleaned(F.col("html")).alias("text"))
+    rows = spread(table(spark, d, "wackywacky")).select("row_number", tx.cleaned(F.col("html")).alias("text"))
+    return rows.select("row_number", F.md5("text").alias("text_md5"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"))
+
+
+def clean_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes, as scored records get before they are tokenized."""
+    return spread(table(spark, d, "gigaverbo")).select("stream_index", F.md5(tx.cleaned(F.col("text"), passes=2)).alias("text_md5"))
 
 
 def normalize_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    p = tx.normalized_paragraphs(tx.cleaned(F.col("text"), markup=False))
-    return spread(table(spark, d, "documents")).filter("text is not null").select("doc_id", F.size(p).cast("bigint").alias("paragraphs"), F.size(F.flatten(p)).cast("bigint").alias("lines"), F.md5(F.array_join(F.transform(p, lambda x: F.array_join(x, "\n")), "\n\n")).alias("text_md5"))
+    p = tx.normalized_paragraphs(F.col("text"))
+    rows = spread(table(spark, d, "documents")).filter("text is not null").select("doc_id", tx.cleaned(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.size(p).cast("bigint").alias("paragraphs"), F.size(F.flatten(p)).cast("bigint").alias("lines"), F.md5(F.array_join(F.transform(p, lambda x: F.array_join(x, "\n")), "\n\n")).alias("text_md5"))
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned texts that aren't empty; written, so that no filter runs the cleaning again."""
-    rows = spread(table(spark, d, "documents")).select("doc_id", F.coalesce("dataset_id", F.lit("unknown")).alias("dataset_id"), F.sha2("source_ref", 256).alias("source_hash"), tx.cleaned(F.col("text"), markup=False).alias("text"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.coalesce("dataset_id", F.lit("unknown")).alias("dataset_id"), F.sha2("source_ref", 256).alias("source_hash"), tx.cleaned(F.col("text")).alias("text"))
     return written(rows, "clean").filter("text <> ''")
 
 
@@ -195,7 +210,7 @@ RULES = boilerplate.Rules(paragraph_chars=40)
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     pages = spread(table(spark, d, "wackywacky").select("row_number", "domain_id", "text").filter("text is not null"))
-    return written(pages.select(F.col("row_number").alias("doc"), F.coalesce("domain_id", F.lit("")).alias("domain"), tx.cleaned(F.col("text"), markup=False).alias("text")), "pages-clean")
+    return written(pages.select(F.col("row_number").alias("doc"), F.coalesce("domain_id", F.lit("")).alias("domain"), tx.cleaned(F.col("text")).alias("text")), "pages-clean")
 
 
 def cross_domain_repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -215,13 +230,12 @@ def boilerplate_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dialogue_projection(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").withColumn("speaker", F.when(F.col("event_type").isin(*DIALOGUE_SPEAKERS), F.col("event_type")).otherwise("view"))
-    rows = project.dialogue_documents(events, "user_id", "event_id", "speaker", "props", DIALOGUE_SPEAKERS, markup=False)
+    rows = project.dialogue_documents(table(spark, d, "events"), "user_id", "event_id", "event_type", "props", DIALOGUE_SPEAKERS)
     return rows.select("dialogue", F.md5("text").alias("text_md5"), "turns", "turns_kept")
 
 
 def anonymize_participants(spark: SparkSession, d: str) -> DataFrame:
-    rows = project.conversation_documents(table(spark, d, "events").withColumn("room", F.col("event_id") % 97), "room", "event_id", "user_id", "props", markup=False)
+    rows = project.conversation_documents(table(spark, d, "events").withColumn("room", F.col("event_id") % 97), "room", "event_id", "user_id", "props")
     return rows.select("conversation", F.md5("text").alias("text_md5"), "messages", "messages_kept", "participants")
 
 
@@ -232,7 +246,7 @@ def participant_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_projection(spark: SparkSession, d: str) -> DataFrame:
     good = filters.score_filter(table(spark, d, "gigaverbo"), "edu_int_score", 4)
-    rows = project.scored_documents(good, "gigaverbo", "main", "default", "train", markup=False)
+    rows = project.scored_documents(good, "gigaverbo", "main", "default", "train")
     return rows.select("stream_index", F.md5("text").alias("text_md5"), "source_ref", "source", "subset")
 
 
@@ -260,37 +274,48 @@ def split_sources_disjoint(spark: SparkSession, d: str) -> DataFrame:
     return validate.shared_sources(table(spark, d, "packed_sequence"))
 
 
-def _sequence_rows(spark: SparkSession, d: str) -> dict[str, int]:
-    rows = table(spark, d, "packed_sequence").filter("split = 'train'").groupBy("dataset_id").agg(F.count_distinct("sequence_id").alias("n"))
-    return {r["dataset_id"]: r["n"] for r in rows.orderBy("dataset_id").collect()}  # a row per data set
+def _sequence_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "packed_sequence").filter("split = 'train'").groupBy("dataset_id").agg(F.count_distinct("sequence_id").alias("rows"))
 
 
 def waterfill(spark: SparkSession, d: str) -> DataFrame:
-    have = _sequence_rows(spark, d)
+    have = {r["dataset_id"]: r["rows"] for r in _sequence_counts(spark, d).orderBy("dataset_id").collect()}  # a row per data set
     target = sum(have.values()) // 2
     return spark.createDataFrame([(k, have[k], v) for k, v in schedule.waterfill(have, target).items()], "dataset_id string, capacity bigint, allocated bigint")
 
 
 def proportional_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.schedule_table(spark, schedule.proportional(_sequence_rows(spark, d), SEED))
+    return schedule.proportional(_sequence_counts(spark, d), SEED)
 
 
 def balanced_schedule(spark: SparkSession, d: str) -> DataFrame:
-    have = _sequence_rows(spark, d)
-    least = min(have.values(), default=0)
-    return schedule.schedule_table(spark, schedule.balanced(dict.fromkeys(have, least), SEED))
+    have = _sequence_counts(spark, d)
+    return schedule.balanced(have.select("dataset_id", F.least("rows", have.agg(F.min("rows")).scalar()).alias("rows")), SEED)
+
+
+def schedule_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Stored training sequences in the order of a proportional schedule; rows of a data set are in the order of their ids."""
+    rows = table(spark, d, "packed_sequence").filter("split = 'train'").select("dataset_id", "sequence_id", "input_ids").dropDuplicates(["dataset_id", "sequence_id"])
+    held = dedup.running_sum(rows.select("dataset_id", "sequence_id", F.lit(1).alias("n")), ["dataset_id"], "sequence_id", "n", "row_index").join(rows, ["dataset_id", "sequence_id"])
+    found = schedule.scheduled_sequences(schedule.proportional(_sequence_counts(spark, d), SEED), held.select("dataset_id", "row_index", "sequence_id", "input_ids"))
+    return found.select("position", "dataset_id", "sequence_id", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("position"), F.col("event_type").alias("dataset_id"), "event_id")
 
 
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    rows = _positions(spark, d)
+    return schedule.steps_and_ranks(rows, 8, 2, rows.count() // 8)
+
+
 def step_rank_batches(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.steps_and_ranks(_positions(spark, d), 8, 2).select("position", "step", "rank")
+    return _steps(spark, d).select("position", "step", "rank")
 
 
 def batch_dataset_counts(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.steps_and_ranks(_positions(spark, d), 8, 2).groupBy("step", "dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    return _steps(spark, d).groupBy("step", "dataset_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def eval_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -311,13 +336,15 @@ def row_range_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def buffered_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """The order of a buffered shuffle depends on row counts alone: simulated on indices."""
-    import hashlib
+    """The order of a buffered shuffle depends on row counts alone: simulated on (file, row) references."""
+    files = table(spark, d, "gigaverbo").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect()  # a row per file
+    order = select.buffered_shuffle(spark, {r["file"]: r["n"] for r in files}, 64, SEED, "gigaverbo")
+    return order.select("position", "row")
+
 
-    seeds = [int(hashlib.sha256("\x1f".join((str(SEED), "gigaverbo", part)).encode()).hexdigest(), 16) for part in ("shards", "buffer")]
-    n = table(spark, d, "gigaverbo").count()
-    pairs = ((str(s), r) for s, r in select.shuffled_positions([n // 2, n - n // 2], 64, *seeds))
-    return schedule.schedule_table(spark, pairs)
+def rank_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = _steps(spark, d).join(table(spark, d, "events").select("event_id", "value"), "event_id").withColumn("bad", F.col("dataset_id") == "error")
+    return schedule.reduced_ranks(rows.groupBy("step", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("highest"), F.bool_or("bad").alias("bad")), ["step"], ["n"], ["highest"], ["bad"])
 
 
 def stable_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -325,10 +352,10 @@ def stable_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL = [
-    hash_bottom_k, reservoir, prefix_k, prefix_metrics, capped_prefix, skip_n, score_filter, reject_reason_counts, page_filter_url, page_decode, clean_plain, detokenize, clean_html,
+    hash_bottom_k, reservoir, prefix_k, prefix_metrics, capped_prefix, skip_n, score_filter, reject_reason_counts, page_filter_url, page_decode, clean_plain, detokenize, clean_html, clean_scored,
     normalize_paragraphs, min_length_filter, exact_dedup, dedup_metrics, duplicate_source_check, tokenize_codepoint, token_totals, split_eval_train, pack_train, pack_eval,
     pack_provenance, pack_tails, capacity_report, split_leakage, short_line_filter, short_line_metrics, cross_domain_repeats, within_domain_blocks, boilerplate_removed,
     boilerplate_report, dialogue_projection, anonymize_participants, participant_counts, scored_projection, safe_label, member_refs, sequence_id_unique, packed_validation,
-    inspection_summary, split_sources_disjoint, waterfill, proportional_schedule, balanced_schedule, step_rank_batches, batch_dataset_counts, eval_ranks, eval_macro_perplexity,
+    inspection_summary, split_sources_disjoint, waterfill, proportional_schedule, balanced_schedule, schedule_sequences, rank_totals, step_rank_batches, batch_dataset_counts, eval_ranks, eval_macro_perplexity,
     row_range_lookup, buffered_shuffle, stable_hashes,
 ]

@@ -15,23 +15,90 @@ def test_waterfill_golden():
         schedule.waterfill(dict.fromkeys("abcdef", 60_000), 416_000)
 
 
-def test_schedules():
+def _shuffled(n, *seed):
+    order = list(range(n))
+    random.Random(schedule.stable_seed(*seed)).shuffle(order)
+    return order
+
+
+def _counts(spark, rows):
+    return spark.createDataFrame(list(rows.items()), "dataset_id string, rows bigint")
+
+
+def test_proportional(spark):
     rows = dict(zip("abcdef", range(2, 8)))
-    refs = list(schedule.proportional(rows))
-    assert len(refs) == 27 == len(set(refs))
-    assert {n: sum(a == n for a, _ in refs) for n in rows} == rows
-    even = list(schedule.balanced(dict.fromkeys("abcdef", 8)))
-    assert len(set(even)) == 48 and all({a for a, _ in even[k : k + 6]} == set("abcdef") for k in range(0, 48, 6))
+    refs = [tuple(r)[1:] for r in schedule.proportional(_counts(spark, rows)).orderBy("position").collect()]
+    assert len(refs) == 27 == len(set(refs)) and {n: sum(a == n for a, _ in refs) for n in rows} == rows
+    for name in rows:
+        assert [k for a, k in refs if a == name] == _shuffled(rows[name], 42, name, "rows")
+    # at every position no data set is a whole turn away from its share
+    for t in range(1, 28):
+        assert all(abs(sum(a == n for a, _ in refs[:t]) - t * rows[n] / 27) < 2 for n in rows)
+    equal = list(schedule.turns_of(dict.fromkeys("abc", 2)))
+    assert equal[:3] == equal[3:] == sorted("abc", key=lambda n: schedule.stable_seed(42, "interleave", n))
+    assert schedule.proportional(_counts(spark, {"a": 0, "b": 3})).count() == 3 and list(schedule.turns_of({})) == []
+    with pytest.raises(ValueError, match="not unique"):
+        schedule.proportional(_counts(spark, {"a": 1}).unionByName(_counts(spark, {"a": 1})))
+
+
+def test_balanced(spark):
+    names = list("fabdec")
+    refs = [tuple(r) for r in schedule.balanced(_counts(spark, dict.fromkeys(names, 8))).orderBy("position").collect()]
+    assert [p for p, _, _ in refs] == list(range(48))
+    for turn in range(8):
+        order = sorted(names)
+        random.Random(schedule.stable_seed(42, "round", turn)).shuffle(order)
+        assert [(a, k) for _, a, k in refs[turn * 6 : turn * 6 + 6]] == [(a, _shuffled(8, 42, a, "rows")[turn]) for a in order]
     with pytest.raises(ValueError):
-        list(schedule.balanced({"a": 1, "b": 2}))
+        schedule.balanced(_counts(spark, {"a": 1, "b": 2}))
+    assert schedule.training_schedule(_counts(spark, {"a": 1, "b": 2}), "real").count() == 3
+
+
+def test_seeds():
+    assert schedule.stable_seed(42, "brwac", "rows") == int(__import__("hashlib").sha256(b'[42,"brwac","rows"]').hexdigest()[:16], 16)
+
+
+def test_scheduled_sequences(spark):
+    order = schedule.proportional(_counts(spark, {"a": 2, "b": 1}))
+    held = spark.createDataFrame([("a", 0, [1]), ("a", 1, [2]), ("b", 0, [3])], "dataset_id string, row_index bigint, input_ids array<int>")
+    assert sorted(r["input_ids"][0] for r in schedule.scheduled_sequences(order, held).collect()) == [1, 2, 3]
+    with pytest.raises(ValueError, match="not unique"):
+        schedule.scheduled_sequences(order.unionByName(order), held)
+    with pytest.raises(Exception, match="no sequence"):
+        schedule.scheduled_sequences(order, held.filter("dataset_id = 'a'")).collect()
+
+
+def test_buffered_shuffle(spark):
+    rng, held, new, want = random.Random(2), [0, 1, 2], 3, []
+    while held:
+        at = rng.randrange(len(held))
+        want.append(held[at])
+        if new < 10:
+            held[at], new = new, new + 1
+        else:
+            held.pop(at)
+    assert [r for _, r in select.shuffled_positions([10], 3, 1, 2)] == want
+    assert sorted(select.shuffled_positions([3, 4], 100, 1, 2)) == [(0, k) for k in range(3)] + [(1, k) for k in range(4)]
+    assert list(select.shuffled_positions([], 4, 1, 2)) == []
+    some = select.buffered_shuffle(spark, {"x": 50, "y": 30}, 8, 42, "t", 20).collect()
+    assert some == select.buffered_shuffle(spark, {"x": 50, "y": 30}, 8, 42, "t").filter("position < 20").collect() and len(some) == 20
 
 
 def test_steps_and_ranks(spark):
     rows = spark.range(26).select(F.col("id").alias("position"))
-    got = schedule.steps_and_ranks(rows, 8, 2).collect()
+    got = schedule.steps_and_ranks(rows, 8, 2, 3).collect()
     assert sorted(r["position"] for r in got if r["step"] == 2 and r["rank"] == 0) == [8, 9, 10, 11]
     assert sorted(r["position"] for r in got if r["step"] == 2 and r["rank"] == 1) == [12, 13, 14, 15]
     assert len(got) == 24
+    for steps in (None, 4):
+        with pytest.raises(Exception, match="last batch"):
+            schedule.steps_and_ranks(rows, 8, 2, steps).collect()
+    assert schedule.steps_and_ranks(rows.filter("position < 24"), 8, 2).count() == 24
+
+
+def test_reduced_ranks(spark):
+    rows = spark.createDataFrame([(1, 2.0, 3, False), (1, 4.0, 1, True), (2, 1.0, 1, False)], "step int, loss double, n int, bad boolean")
+    assert sorted(map(tuple, schedule.reduced_ranks(rows, ["step"], ["n"], ["loss"], ["bad"]).collect())) == [(1, 4, 4.0, True), (2, 1, 1.0, False)]
 
 
 def _loop(records, eval_sequences, length, limits):
@@ -84,8 +151,6 @@ def test_selection(spark):
     assert [r["i"] for r in select.capped_prefix(rows, "i", 8, 9, F.col("s") == 1).collect()] == [1, 4, 7]
     best = select.bottom_k(rows, 5, 1, "t", F.col("i")).collect()
     assert [r["selection_rank"] for r in best] == list(range(5)) and best == select.bottom_k(rows.repartition(7), 5, 1, "t", F.col("i")).collect()
-    order = list(select.shuffled_positions([3, 4], 2, 1, 2))
-    assert sorted(order) == [(0, k) for k in range(3)] + [(1, k) for k in range(4)]
 
 
 def test_scores_and_reasons(spark):
@@ -171,7 +236,7 @@ def test_losses_and_lookup(spark):
     got = {r["dataset_id"]: r for r in schedule.macro_losses(losses).collect()}
     assert got[None]["loss"] == 51.0 and got["b"]["perplexity"] == pytest.approx(2.718281828**80, rel=1e-3)
     shards = spark.createDataFrame([("d", 0, 3), ("d", 1, 2)], "dataset_id string, shard int, rows bigint")
-    asked = spark.createDataFrame([("d", k) for k in range(7)], "dataset_id string, row_index bigint")
+    asked = spark.createDataFrame([("d", k) for k in range(7)] + [("e", 0)], "dataset_id string, row_index bigint")
     assert sorted((r["row_index"], r["shard"], r["row_in_shard"]) for r in schedule.rows_at(asked, shards).collect()) == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 1, 0), (4, 1, 1)]
 
 
