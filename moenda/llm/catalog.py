@@ -97,9 +97,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    model = abuse.fitted(documents, table(spark, d, "content_label"))
-    return abuse.scored(documents, model, ["doc_id", "source"])
+    sentences = abuse.sentences_of(table(spark, d, "documents"), ["doc_id", "source"])
+    return abuse.scored(sentences, abuse.fitted(sentences, table(spark, d, "content_label")), ["doc_id", "source"])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
