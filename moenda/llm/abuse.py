@@ -87,12 +87,12 @@ _MIXED = re.compile(r"[0-9$@][a-z]")
 _END = re.compile(r"[.!?…]+[\"”')]*\Z")
 
 #: Score from which a document counts as found.
-FOUND = 0.5
+FOUND = 0.4
 #: Bits of the table of n-gram weights; its last entries belong to the voters.
 FEATURE_BITS = 18
 TOKEN_MEMO = 1 << 18
 #: Sentences of the sample that nobody judged have so much weight together, against those that somebody did.
-UNJUDGED = 0.1
+UNJUDGED = 0.03
 #: Entries of the n-grams that the sample may hold on the driver, 12 bytes each.
 MAX_ENTRIES = 30_000_000
 
@@ -282,28 +282,33 @@ def features(words: np.ndarray, sizes: np.ndarray, votes: np.ndarray) -> tuple[n
     return np.concatenate(entries), np.concatenate(of)
 
 
-def _tree(joint: np.ndarray) -> list[int]:
-    """Each voter's parent in the tree of the greatest mutual information given the class, -1 for the root.
+def _forest(joint: np.ndarray, least: float) -> list[int]:
+    """Each voter's parent in the trees of the greatest mutual information given the class, -1 for roots.
 
-    ``joint[y, a, b, i, j]``: how much of class y has values i and j of the voters a and b.
+    ``joint[y, a, b, i, j]``: how much of class y has values i and j of the voters a and b.  Pairs that share
+    less than the part ``least`` of what either tells given the class count as independent.
     """
     p = joint / joint.sum(axis=(0, 3, 4), keepdims=True)
     own = p.sum(axis=4, keepdims=True), p.sum(axis=3, keepdims=True)
     mutual = (p * np.log(p * p.sum(axis=(3, 4), keepdims=True) / (own[0] * own[1]))).sum(axis=(0, 3, 4))
-    parent, best = [-1] * len(mutual), {k: (mutual[0, k], 0) for k in range(1, len(mutual))}
+    single = np.stack([p[:, k, k].diagonal(axis1=1, axis2=2) for k in range(p.shape[1])])
+    entropy = -(single * np.log(single / single.sum(axis=2, keepdims=True))).sum(axis=(1, 2))
+    part = mutual / np.minimum(entropy[:, None], entropy[None, :])
+    parent, best = [-1] * len(part), {k: (part[0, k], 0) for k in range(1, len(part))}
     while best:
         k = max(best, key=lambda x: best[x][0])
-        parent[k] = best.pop(k)[1]
+        share, of = best.pop(k)
+        parent[k] = of if share >= least else -1
         for other in best:
-            best[other] = max(best[other], (mutual[k, other], k))
+            best[other] = max(best[other], (part[k, other], k))
     return parent
 
 
-def label_model(patterns: dict[int, int], rounds: int = 60, prior: float = 0.01, strength: float = 50.0) -> dict[int, float]:
+def label_model(patterns: dict[int, int], rounds: int = 60, prior: float = 0.01, strength: float = 50.0, least: float = 0.2) -> dict[int, float]:
     """Posterior of each vote pattern, given how often each occurs in the corpus.
 
     Expectation-maximization of two classes of sentences in which each voter's vote depends on the class and on
-    one other voter: the tree of these pairs, the rates and the share of the classes are
+    one other voter or none: the trees of these pairs, the rates and the share of the classes are
     estimated from all patterns weighted by their counts.  What is thought beforehand
     is worth ``strength`` sentences: that voters for vote more often in the rarer class and
     voters against in the other, which tells the classes apart.
@@ -321,7 +326,7 @@ def label_model(patterns: dict[int, int], rounds: int = 60, prior: float = 0.01,
     for _ in range(rounds):
         classes = np.stack([n * q, n * (1 - q)])
         joint = np.einsum("yp,pai,pbj->yabij", classes, values, values, optimize=True) + strength * before
-        parent = _tree(joint)
+        parent = _forest(joint, least)
         share = (classes.sum(axis=1) + strength * np.array([prior, 1 - prior])) / (n.sum() + strength)
         z = np.tile(np.log(share), (len(keys), 1))
         for a, b in enumerate(parent):
