@@ -7,22 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import table, written
 from . import abuse, binpack, labels, lines, mix, overlap, pages, records, tokens
 
 
-def _budget_slices(spark: SparkSession, d: str) -> DataFrame:
+def _document_counts(spark: SparkSession, d: str) -> DataFrame:
     documents, gigaverbo = table(spark, d, "documents"), table(spark, d, "gigaverbo")
-    own = tokens.count_tokens(documents.withColumn("ref", F.sha2("source_ref", 256)), "text", ["ref", "source", "lang", "web_domain"])
-    other = tokens.count_tokens(gigaverbo, "text", ["source", "lang", "web_domain"])
+    own = tokens.count_tokens(documents.withColumn("ref", F.sha2("source_ref", 256)), "text", ["doc_id", "ref", "source", "lang", "web_domain"])
+    other = tokens.count_tokens(gigaverbo, "text", ["stream_index", "source", "lang", "web_domain"])
     seen = tokens.observed_lengths(table(spark, d, "tokenized_document"))
-    own = own.join(seen, own.ref == seen.source_ref_sha256, "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    own = own.join(seen, own.ref == seen.source_ref_sha256, "left").withColumn("observed", F.coalesce("observed", F.lit(0))).withColumnRenamed("doc_id", "id")
+    other = other.withColumn("observed", F.lit(0).cast("bigint")).withColumnRenamed("stream_index", "id")
     cols = (F.col("source"), F.col("lang"), F.col("web_domain"))
-    return tokens.named_slices(own, "documents", *cols, "tokens", "observed").unionByName(tokens.named_slices(other.withColumn("observed", F.lit(0).cast("bigint")), "gigaverbo", *cols, "tokens", "observed"))
+    return tokens.named_slices(own, "documents", *cols, "id", "tokens", "observed").unionByName(tokens.named_slices(other, "gigaverbo", *cols, "id", "tokens", "observed"))
+
+
+def p1_document_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _document_counts(spark, d).select("corpus", "id", "tokens", "observed")
 
 
 def p1_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.budget_cube(_budget_slices(spark, d), ["corpus", "source", "language", "domain"], ["tokens", "observed"])
+    counts = written(_document_counts(spark, d), "token-counts")  # exact counts are kept, sums come from them
+    return tokens.budget_cube(counts, ["corpus", "source", "language", "domain"], ["tokens", "observed"])
 
 
 def p1_observed(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +102,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixes(spark, d).shares()
 
 
+def p8_fits(spark: SparkSession, d: str) -> DataFrame:
+    return _mixes(spark, d).fits()
+
+
 def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
     sentences = abuse.sentences_of(table(spark, d, "documents"), ["doc_id", "source"])
     return abuse.scored(sentences, abuse.fitted(sentences, table(spark, d, "content_label")), ["doc_id", "source"])
@@ -139,7 +149,7 @@ SELECT w.row_number, CASE WHEN removed IS NULL THEN text ELSE coalesce(t, '') EN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_token_budget, p1_observed, p2_found, p2_pages, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_token_budget, p1_document_counts, p1_observed, p2_found, p2_pages, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p8_fits, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

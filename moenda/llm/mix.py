@@ -2,13 +2,15 @@
 
 Documents fall into cells of source, language and topic.  Iterative proportional
 fitting rakes the tokens of the cells to the marginals of the mix: those of the
-sources always, those of languages and topics where given (else the cells of a source
-keep their proportions, which is what raking to the proportions they have comes to).
+sources, of languages and of topics.  Where no goals are given for languages and topics, these are the shares that
+they have in the sources of the mix, so that new weights of the sources change them as
+little as may be; the sources' own goals come last and are met.
 A cell's rate is how often its documents are used on average; its whole part is
 used of every document, and the rest is a probability.  Documents are sampled with
 these probabilities in the order of a hash divided by the probability (sequential
-Poisson sampling) until the tokens of their source are reached, so that a source
-misses its goal by less than one document.
+Poisson sampling) until the tokens of their source are reached; at the border a document that is
+too long for what is left is passed over for shorter ones after it, so that no
+source exceeds its goal and few miss more than a short document of it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from ..runtime import written
 CELL = ["source", "language", "topic"]
 #: Rates are broadcast up to this number of rows (cells times mixes, not documents).
 BROADCAST_RATES = 100_000
+#: Documents from the border on among which those are looked for that fill a source's goal.
+BORDER_DOCUMENTS = 10_000
 #: Parts of each octave of the sampling order whose tokens are added up before the cut is looked for.
 OCTAVE_PARTS = 1 << 12
 
@@ -82,7 +86,17 @@ def rake(tokens: np.ndarray, caps: np.ndarray, margins: list[tuple[np.ndarray, n
     return x
 
 
-def _rates(cells: DataFrame, targets: DataFrame, shares: dict[str, dict[str, float]]) -> DataFrame:
+def filled(left: float, tokens: np.ndarray) -> np.ndarray:
+    """Which documents, in order, are taken when each is that still fits into what is left."""
+    taken = np.zeros(len(tokens), bool)
+    for k, n in enumerate(tokens.tolist()):
+        if n <= left:
+            taken[k] = True
+            left -= n
+    return taken
+
+
+def _rates(cells: DataFrame, targets: DataFrame, shares: dict[str, dict[str, float]] | None) -> DataFrame:
     """(mix_id, source, language, topic, whole, part, goal, target_share) of each cell of each mix;
     a source of a mix without text has one row with null language and topic."""
 
@@ -103,7 +117,13 @@ def _rates(cells: DataFrame, targets: DataFrame, shares: dict[str, dict[str, flo
         group = np.array([at[r["source"]] for r in cells], int)
         cell_caps = tokens * limit[group] if len(cells) else tokens
         margins = []
-        for name, wanted in shares.items():
+        own = shares
+        if own is None:
+            own = {name: {} for name in CELL[1:]}
+            for r in cells:
+                for name, sums in own.items():
+                    sums[r[name]] = sums.get(r[name], 0) + r["tokens"]
+        for name, wanted in own.items():
             names = sorted({r[name] for r in cells})
             of = {v: i for i, v in enumerate(names)}
             whole = sum(max(wanted.get(v, 0.0), 0.0) for v in names)
@@ -143,7 +163,8 @@ class Mixes:
     """Uses of the documents (doc_id, source, language, topic, tokens) in each mix.
 
     Documents without tokens or source are in no mix.  Languages and topics must not
-    be null.  ``shares`` may give goals for ``language`` or ``topic``.
+    be null.  ``shares`` may give goals for ``language`` or ``topic``, by default their shares in
+    the sources of the mix.
     """
 
     def __init__(self, sized: DataFrame, mix_target: DataFrame, shares: dict[str, dict[str, float]] | None = None):
@@ -151,29 +172,61 @@ class Mixes:
         cells = self.sized.filter("source is not null").groupBy(*CELL).agg(F.sum("tokens").alias("tokens"))
         everything = self.sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
         targets = targets_of(mix_target).crossJoin(F.broadcast(everything))  # one row
-        self.rates = written(_rates(cells, targets, shares or {}), "mix-rates")
+        self.rates = written(_rates(cells, targets, shares), "mix-rates")
 
-    def uses(self) -> DataFrame:
-        """(mix_id, doc_id, source, tokens, uses) of every document used in a mix."""
+    def _used(self) -> DataFrame:
+        """(mix_id, doc_id, source, language, topic, tokens, uses)."""
         rates = self.rates.filter("language is not null and (whole > 0 or part > 0)")
         side = F.broadcast(rates) if rates.count() <= BROADCAST_RATES else rates
         rows = self.sized.join(side, CELL)
         unit = (F.shiftrightunsigned(F.xxhash64("mix_id", "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-        rows = rows.select("mix_id", "doc_id", "source", "tokens", "whole", "part", F.when(F.col("part") > 0, unit / F.col("part")).alias("at"))
+        rows = rows.select("mix_id", "doc_id", *CELL, "tokens", "whole", "part", F.when(F.col("part") > 0, unit / F.col("part")).alias("at"))
         rows = rows.withColumn("place", place_of(F.col("at")))
         extra = rates.join(self.sized.groupBy(*CELL).agg(F.sum("tokens").alias("cell_tokens")), CELL).groupBy("mix_id", "source").agg(F.sum(F.col("part") * F.col("cell_tokens")).alias("wanted"))
-        mass = rows.filter("place is not null").groupBy("mix_id", "source", "place").agg(F.sum("tokens").alias("mass"))
-        before = F.coalesce(F.sum("mass").over(W.partitionBy("mix_id", "source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        cut = mass.withColumn("before", before).join(extra, ["mix_id", "source"]).filter((F.col("before") < F.col("wanted")) & (F.col("before") + F.col("mass") >= F.col("wanted")))
-        cut = cut.groupBy("mix_id", "source").agg(F.min("place").alias("cut"), F.min_by("before", "place").alias("before"), F.first("wanted").alias("wanted"))
+        mass = rows.filter("place is not null").groupBy("mix_id", "source", "place").agg(F.sum("tokens").alias("mass"), F.count(F.lit(1)).alias("n"))
+        order = W.partitionBy("mix_id", "source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+        mass = mass.withColumns({"before": F.coalesce(F.sum("mass").over(order), F.lit(0)), "earlier": F.coalesce(F.sum("n").over(order), F.lit(0))})
+        behind = mass.join(extra, ["mix_id", "source"]).filter(F.col("before") + F.col("mass") > F.col("wanted"))
+        cut = behind.groupBy("mix_id", "source").agg(F.min("place").alias("cut"), F.min_by("before", "place").alias("before"), F.min_by("earlier", "place").alias("earlier"), F.first("wanted").alias("wanted"))
+        last = behind.select("mix_id", "source", "place", F.col("earlier").alias("_n")).join(cut.select("mix_id", "source", "earlier"), ["mix_id", "source"]).filter(F.col("_n") - F.col("earlier") < BORDER_DOCUMENTS)
+        cut = written(cut.join(last.groupBy("mix_id", "source").agg(F.max("place").alias("last")), ["mix_id", "source"]).drop("earlier"), "mix-cuts")
         # a row per mix and source, of which there are no more than rates
         rows = rows.join(F.broadcast(cut) if cut.count() <= BROADCAST_RATES else cut, ["mix_id", "source"], "left")
-        within = F.col("before") + F.sum("tokens").over(W.partitionBy("mix_id", "source").orderBy("at", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens") / 2
-        # sources whose extra documents don't reach what is wanted have no cut: all are taken
-        decided = rows.filter("place is null or cut is null or place <> cut").withColumn("one", F.when(F.col("place").isNull() | (F.col("place") > F.col("cut")), 0).otherwise(1))
-        border = rows.filter("place = cut").withColumn("one", F.when(within < F.col("wanted"), 1).otherwise(0))
-        both = decided.unionByName(border).withColumn("uses", F.col("whole") + F.col("one"))
-        return both.filter("uses > 0").select("mix_id", "doc_id", "source", "tokens", "uses")
+        # sources whose extra documents don't exceed what is wanted have no cut: all are taken
+        inner = F.when(F.col("place").isNull(), 0).when(F.col("cut").isNull() | (F.col("place") < F.col("cut")), 1).when(F.col("place") > F.col("last"), 0)
+
+        def fit(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("at", "ascending"), ("doc_id", "ascending")])
+            left = table["wanted"][0].as_py() - table["before"][0].as_py() if table.num_rows else 0.0
+            return table.select(kept).append_column("one", pa.array(filled(left, table["tokens"].to_numpy()).astype(np.int32)))
+
+        kept = ["mix_id", "doc_id", *CELL, "tokens", "whole"]
+        rows = rows.withColumn("one", inner)
+        border = rows.filter("one is null").select(*kept, "at", "before", "wanted")
+        kinds = dict(rows.dtypes)
+        border = border.groupBy("mix_id", "source").applyInArrow(fit, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", one int")
+        both = rows.filter("one is not null").select(*kept, "one").unionByName(border).withColumn("uses", F.col("whole") + F.col("one"))
+        return both.filter("uses > 0").select("mix_id", "doc_id", *CELL, "tokens", "uses")
+
+    def uses(self) -> DataFrame:
+        """(mix_id, doc_id, source, tokens, uses) of every document used in a mix."""
+        return self._used().select("mix_id", "doc_id", "source", "tokens", "uses")
+
+    def fits(self) -> DataFrame:
+        """(mix_id, margin, name, goal_share, actual_share) of sources, and of languages and topics, whose goals
+        are the shares that they have in the sources of the mix."""
+        cells = self.sized.filter("source is not null").groupBy(*CELL).agg(F.sum("tokens").alias("tokens"))
+        given = self.rates.filter("language is not null").select("mix_id", *CELL, "target_share").join(cells, CELL)
+        used = written(self._used().groupBy("mix_id", *CELL).agg(F.sum(F.col("uses") * F.col("tokens")).alias("used")), "mix-used")
+        both = given.join(used, ["mix_id", *CELL], "left").na.fill(0, ["used"])
+        within = W.partitionBy("mix_id")
+        rows = None
+        for name in CELL:
+            sums = both.groupBy("mix_id", F.lit(name).alias("margin"), F.col(name).alias("name")).agg(F.sum("tokens").alias("tokens"), F.sum("used").alias("used"), F.max("target_share").alias("target_share"))
+            goal = F.col("target_share") if name == "source" else F.col("tokens") / F.sum("tokens").over(within)
+            part = sums.select("mix_id", "margin", "name", goal.alias("goal_share"), F.coalesce(F.col("used") / F.nullif(F.sum("used").over(within), F.lit(0)), F.lit(0.0)).alias("actual_share"))
+            rows = part if rows is None else rows.unionByName(part)
+        return rows
 
     def shares(self) -> DataFrame:
         """(mix_id, source, target_share, documents, uses, tokens, actual_share); sources without
