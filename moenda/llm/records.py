@@ -43,8 +43,30 @@ def _is_name(name: str) -> bool:
     return folded(name) != ""
 
 
+class _Fields(list):
+    """The pairs of a JSON object, in order and with repeats."""
+
+
+_FALSE_TRUE = {None: "null", False: "false", True: "true"}
+
+
+def _shown(value) -> str:
+    """What of a JSON value is compared: its letters and digits, those of inner objects in the order of their sorted pairs."""
+    if isinstance(value, _Fields):
+        return "".join(a + b for a, b in sorted((folded(a), folded(_shown(b))) for a, b in value))
+    if isinstance(value, list):
+        return "".join(map(_shown, value))
+    return value if isinstance(value, str) else _FALSE_TRUE[value]
+
+
 def _json_pairs(text: str) -> list[tuple[str, str]] | None:
-    body, at, pairs = text.strip().rstrip(".; ")[1:-1], 0, []
+    plain = text.strip().rstrip(".; ")
+    try:
+        whole = json.loads(plain, object_pairs_hook=_Fields, parse_float=str, parse_int=str, parse_constant=str, strict=False)
+        return [(a, _shown(b)) for a, b in whole] if all(_is_name(a) for a, _ in whole) else None
+    except (ValueError, RecursionError):
+        pass  # not quite JSON, such as values without quotes
+    body, at, pairs = plain[1:-1], 0, []
     while at < len(body):
         if not (m := _JSON_FIELD.match(body, at)):
             return None
@@ -75,7 +97,7 @@ def _parted(parts: list[str]) -> list[tuple[str, str]] | None:
 
 def named_fields(text: str) -> frozenset[tuple[str, str]] | None:
     """The (name, value) pairs of a text that is only a record of at least two
-    named fields: a JSON object, or ``name: value`` / ``name = value`` on lines or
+    named fields: a JSON object, whatever its values, or ``name: value`` / ``name = value`` on lines or
     between ``;`` or ``|``.  Names and values are folded.  None for any other text."""
     if not (":" in text or "=" in text):
         return None
