@@ -7,10 +7,14 @@ sets of that similarity must meet within a prefix of each, so only prefixes are
 indexed (evaluation) and probed (training); bounds from lengths, places in the
 prefixes and small bitmaps drop most of what meets, and the rest is verified on whole sets.
 
-The order comes from a sketch of fixed size that counts the runs of the evaluation
-split.  A run whose entry is zero occurs in no evaluation document, comes first in the
-order, and need not be sent anywhere; a training document with too many such runs
-can't reach the threshold and sends nothing.  Any order gives the same result.
+The order comes from sketches of fixed size that count the runs of the evaluation split, and those of the
+training split that may occur in it.  A run whose entry of the first is zero occurs in no
+evaluation document, comes first in the order, and need not be sent anywhere; a
+training document with too many such runs can't reach the threshold and sends
+nothing.  The others follow by their counts in both splits.  Any order gives the same
+result.  Runs that many training documents send are spread over tasks.
+
+Texts are cut into words once; their sets of runs are written and used throughout.
 
 Documents with the same runs are one class, of which one member is indexed or probed;
 the pairs of members are written out at the end, in salted parts.
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix64
-from ..runtime import written
+from ..runtime import spread, written
 from . import sketch
 
 _WORD = re.compile(r"[^\W_]+")
@@ -39,6 +43,8 @@ _MARKS = re.compile("[̀-ͯ҃-҉֑-ֽؐ-ًؚ-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 WORD_MEMO = 1 << 18
 #: Parts into which the members of one class are spread when pairs are written out.
 SALTS = 64
+#: Runs that hold more than this part of all rows, and at least so many, are spread over tasks.
+HOT_KEYS, HOT_LEAST = 10_000, 1_000
 #: Ids of documents to be verified are broadcast up to this number (8 MB).
 BROADCAST_IDS = 1_000_000
 
@@ -95,66 +101,66 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(kind.to_pandas_dtype())))
 
 
-def _evaluation_runs(documents: DataFrame, width: int, min_words: int) -> DataFrame:
+def _sets_of(documents: DataFrame, width: int, min_words: int) -> DataFrame:
+    """(doc_id, split, source, a, b, runs) of the texts that are long enough; a and b are the class of equal sets."""
+
     def run(batches):
         for batch in batches:
-            for _, runs in _sets(batch, 0, width, min_words):
-                yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64))], names=["h"])
+            found = list(_sets(batch, 3, width, min_words))
+            chosen = batch.take(pa.array([i for i, _ in found], pa.int32()))
+            keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(r.tobytes()), "<i8") for _, r in found], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*chosen.columns[:3], pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists([r.view(np.int64) for _, r in found], pa.int64())], names=["doc_id", "split", "source", "a", "b", "runs"])
+
+    return spread(documents.select("doc_id", "split", "source", "text")).mapInArrow(run, "doc_id bigint, split string, source string, a bigint, b bigint, runs array<bigint>")
+
 
-    def joined(batches):
-        held, rows = [], 0
-        for piece in run(batches):
-            held.append(piece.column(0))
-            if (rows := rows + len(piece)) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(held)], names=["h"])
-                held, rows = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(held)], names=["h"])
+def _order(classes: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
+    """uint8 counts of the runs by entry: 0 for those of no evaluation set, 1 to 16 by the counts in both splits, and its bits."""
+    held = classes.filter("split = 'eval'").select(F.explode("runs").alias("h"))
+    bits = sketch.bits_for(held.count(), most=most_bits)
+    evaluation = sketch.counts(held, "h", bits)
+    known = classes.sparkSession.sparkContext.broadcast(np.packbits(evaluation > 0))
 
-    return documents.filter("split = 'eval'").select("text").mapInArrow(joined, "h bigint")
+    def run(batches):
+        several = known.value
+        for batch in batches:
+            runs = batch.column(0).flatten().to_numpy()
+            at = sketch.bucket_of(runs, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(runs[several[at >> 3] >> (7 - (at & 7)) & 1 == 1])], names=["h"])
 
+    training = sketch.counts(classes.filter("split = 'train'").select("runs").mapInArrow(run, "h bigint"), "h", bits)
+    ranks = 1 + np.floor(2 * np.log2(np.maximum(evaluation.astype(np.int64) + training, 1))).astype(np.uint8)
+    return np.where(evaluation > 0, ranks, 0).astype(np.uint8), bits
 
-def _prefixes(documents: DataFrame, frequency: np.ndarray, bits: int, width: int, min_words: int, threshold: float) -> DataFrame:
-    """(doc_id, split, source, a, b, size, unseen, m0 to m7, h): class, number of runs, how
+
+def _prefixes(classes: DataFrame, order: np.ndarray, bits: int, threshold: float) -> DataFrame:
+    """(split, doc, size, unseen, m0 to m7, h) of each class: number of runs, how
     many are surely in no evaluation document, parities of the runs by their last nine
     bits and, of the prefix, the runs behind the unseen ones."""
-    held = documents.sparkSession.sparkContext.broadcast(frequency)
+    held = classes.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         known = held.value
         for batch in batches:
-            places, keys, sizes, prefix, parity, absent = [], [], [], [], [], []
-            for i, runs in _sets(batch, 3, width, min_words):
-                counts = known[sketch.bucket_of(runs, bits)]
+            sizes, prefix, parity, absent = [], [], [], []
+            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            ranks = known[sketch.bucket_of(values, bits)]
+            low = (values & 511).astype(np.int64)
+            for start, end in zip(ends[:-1], ends[1:]):
+                runs, own = values[start:end], ranks[start:end]
+                unseen = int((own == 0).sum())
                 take = prefix_length(len(runs), threshold)
-                unseen = int((counts == 0).sum())
-                order = np.argsort(counts, kind="stable")[:take]
-                parity.append(np.packbits(np.bincount((runs & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1))
-                places.append(i)
-                digest = xxhash.xxh3_128_digest(runs.tobytes())
-                keys.append(np.frombuffer(digest, "<i8"))
+                parity.append(np.packbits(np.bincount(low[start:end], minlength=512).astype(np.uint8) & 1))
                 sizes.append(len(runs))
                 absent.append(unseen)
-                prefix.append(runs[order[unseen:]].view(np.int64))
-            keys = np.array(keys, np.int64).reshape(-1, 2)
+                prefix.append(runs[np.argsort(own, kind="stable")[unseen:take]])
             maps = np.array(parity, np.uint8).reshape(-1, 64).view(np.int64)
-            chosen = batch.take(pa.array(places, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*chosen.columns[:3], pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes, pa.int32()), pa.array(absent, pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(8)), _lists(prefix, pa.int64())],
-                names=["doc_id", "split", "source", "a", "b", "size", "unseen", *_MAPS, "h"],
+                [*batch.columns[:2], pa.array(sizes, pa.int32()), pa.array(absent, pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(8)), _lists(prefix, pa.int64())],
+                names=["split", "doc", "size", "unseen", *_MAPS, "h"],
             )
 
-    return documents.select("doc_id", "split", "source", "text").mapInArrow(run, "doc_id bigint, split string, source string, a bigint, b bigint, size int, unseen int, " + ", ".join(f"{m} bigint" for m in _MAPS) + ", h array<bigint>")
-
-
-def _whole_sets(documents: DataFrame, width: int, min_words: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            found = list(_sets(batch, 1, width, min_words))
-            ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, _lists([r.view(np.int64) for _, r in found], pa.int64())], names=["doc_id", "runs"])
-
-    return documents.mapInArrow(run, "doc_id bigint, runs array<bigint>")
+    return classes.select("split", "doc", "runs").mapInArrow(run, "split string, doc bigint, size int, unseen int, " + ", ".join(f"{m} bigint" for m in _MAPS) + ", h array<bigint>")
 
 
 class Overlaps:
@@ -167,22 +173,20 @@ class Overlaps:
 
     def __init__(self, documents: DataFrame, width: int = 3, threshold: float = 0.6, min_words: int = 40, most_bits: int = 24):
         documents = documents.filter(F.col("split").isin("eval", "train") & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        documents = written(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "split", "source", "text"), "overlap-documents", ["split"])
-        documents = documents.select("doc_id", "split", "source", "text")
-        bits = sketch.bits_for(documents.filter("split = 'eval'").count() * 128, most=most_bits)
-        frequency = sketch.counts(_evaluation_runs(documents, width, min_words), "h", bits)
-        prefixes = written(_prefixes(documents, frequency, bits, width, min_words, threshold), "overlap-prefixes")
-        self.members = prefixes.select("doc_id", "split", "source", "a", "b").distinct()
-        pairs = self._verified(self._candidates(prefixes, threshold), documents, width, min_words, threshold)
-        for side, split in (("x", "eval"), ("y", "train")):
-            classes = self.members.filter(F.col("split") == split).select(F.col("doc_id").alias(f"{side}_doc"), F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b")).dropDuplicates([f"{side}_doc"])
-            pairs = pairs.join(classes, f"{side}_doc")
-        self.pairs = written(pairs.drop("x_doc", "y_doc"), "overlap-pairs")
+        rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "split", "source", "text")
+        sets = written(_sets_of(rows, width, min_words), "overlap-sets")
+        self.members = sets.select("doc_id", "split", "source", "a", "b").distinct()
+        # one row a class and split, that of the least doc_id; the sets of other members are the same
+        firsts = sets.groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"))
+        classes = sets.join(firsts, ["split", "a", "b"]).filter("doc_id = doc").dropDuplicates(["split", "a", "b"])
+        classes = written(classes.select("split", "doc", "a", "b", "runs"), "overlap-classes")
+        order, bits = _order(classes, most_bits)
+        prefixes = written(_prefixes(classes, order, bits, threshold).filter(F.size("h") > 0), "overlap-prefixes")
+        self.pairs = written(self._verified(self._candidates(prefixes, threshold), classes, threshold), "overlap-pairs")
 
     @staticmethod
     def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-        classes = prefixes.filter(F.size("h") > 0).groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("size", "unseen", "h")))
-        entries = classes.select("split", "doc", "size", "unseen", F.posexplode("h").alias("at", "h"))
+        entries = prefixes.select("split", "doc", "size", "unseen", F.posexplode("h").alias("at", "h"))
         # size and place share a column, as there is a row for every run of every prefix
         entries = entries.select("split", "doc", "h", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("unseen") + F.col("at")).cast("bigint")).alias("place"))
 
@@ -193,31 +197,37 @@ class Overlaps:
         # these two sizes need hold it: sets that are similar enough meet so at least once
         x = entries.filter("split = 'eval'").select("h", F.col("doc").alias("x_doc"), F.col("place").alias("x_place"))
         y = entries.filter("split = 'train'").select("h", F.col("doc").alias("y_doc"), F.col("place").alias("y_place"))
+        # fewer than HOT_KEYS runs can be in more than that part of all rows; their rows are dealt out
+        often = y.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        least = F.greatest(F.lit(HOT_LEAST), F.expr(f"n_all div {HOT_KEYS}"))
+        hot = often.join(F.broadcast(often.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all")))).filter(F.col("n") > least).select("h", F.lit(True).alias("hot"))
+        hot = F.broadcast(written(hot, "overlap-hot"))
+        x = x.join(hot, "h", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+        y = y.join(hot, "h", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("y_doc"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
         sizes = F.shiftright("x_place", 32), F.shiftright("y_place", 32)
         close = (sizes[0] >= F.lit(threshold) * sizes[1] - 1e-9) & (sizes[1] >= F.lit(threshold) * sizes[0] - 1e-9)
         left = (size - F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)) for size, p in zip(sizes, ("x_place", "y_place")))
-        met = x.join(y, "h").filter(close & (F.least(*left) >= needed(*sizes))).select("x_doc", "y_doc").distinct()
+        met = x.join(y, ["h", "salt"]).filter(close & (F.least(*left) >= needed(*sizes))).select("x_doc", "y_doc").distinct()
 
         # a run of one set only turns the parity of its entry: as many entries differ, so many
         # runs at least are not common
         for side, split in (("x", "eval"), ("y", "train")):
-            own = prefixes.filter((F.col("split") == split) & (F.size("h") > 0)).dropDuplicates(["doc_id"])
-            met = met.join(own.select(F.col("doc_id").alias(f"{side}_doc"), F.col("size").alias(f"{side}_size"), *(F.col(m).alias(f"{side}_{m}") for m in _MAPS)), f"{side}_doc")
+            own = prefixes.filter(F.col("split") == split)
+            met = met.join(own.select(F.col("doc").alias(f"{side}_doc"), F.col("size").alias(f"{side}_size"), *(F.col(m).alias(f"{side}_{m}") for m in _MAPS)), f"{side}_doc")
         apart = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in _MAPS), F.lit(0))
         return met.filter((F.col("x_size") + F.col("y_size") - apart) / 2 >= needed(F.col("x_size"), F.col("y_size"))).select("x_doc", "y_doc")
 
     @staticmethod
-    def _verified(candidates: DataFrame, documents: DataFrame, width: int, min_words: int, threshold: float) -> DataFrame:
-        candidates = written(candidates, "overlap-candidates")
-        wanted = written(candidates.select(F.col("x_doc").alias("doc_id")).union(candidates.select("y_doc")).distinct(), "overlap-wanted")
-        few = wanted.count() <= BROADCAST_IDS
-        texts = documents.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = written(_whole_sets(texts, width, min_words), "overlap-sets")
-        x = sets.select(F.col("doc_id").alias("x_doc"), F.col("runs").alias("x_runs"))
-        y = sets.select(F.col("doc_id").alias("y_doc"), F.col("runs").alias("y_runs"))
-        both = candidates.join(x, "x_doc").join(y, "y_doc").withColumn("common", F.size(F.array_intersect("x_runs", "y_runs")))
+    def _verified(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+        both = written(candidates, "overlap-candidates")
+        few = both.count() <= BROADCAST_IDS
+        for side, split in (("x", "eval"), ("y", "train")):
+            wanted = both.select(F.col(f"{side}_doc").alias("doc")).distinct()
+            own = classes.filter(F.col("split") == split).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+            both = both.join(own.select(F.col("doc").alias(f"{side}_doc"), *(F.col(c).alias(f"{side}_{c}") for c in ("a", "b", "runs"))), f"{side}_doc")
+        both = both.withColumn("common", F.size(F.array_intersect("x_runs", "y_runs")))
         union = F.size("x_runs") + F.size("y_runs") - F.col("common")
-        return both.filter(F.col("common") >= F.lit(threshold) * union - 1e-9).select("x_doc", "y_doc", (F.col("common") / union).alias("similarity"))
+        return both.filter(F.col("common") >= F.lit(threshold) * union - 1e-9).select("x_a", "x_b", "y_a", "y_b", (F.col("common") / union).alias("similarity"))
 
     def _spread(self, split: str, side: str) -> DataFrame:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias(f"{side}_salt")
@@ -234,6 +244,11 @@ class Overlaps:
         pairs = pairs.filter("x_doc != y_doc")
         return pairs.select(F.least("x_doc", "y_doc").alias("doc_id_a"), F.greatest("x_doc", "y_doc").alias("doc_id_b"), "similarity").distinct()
 
+    def class_pairs(self) -> tuple[DataFrame, DataFrame]:
+        """The pairs of classes (x_a, x_b of eval, y_a, y_b of train, similarity) and the members of each class
+        (doc_id, split, source, a, b): all overlaps, without writing out pairs of copies."""
+        return self.pairs, self.members
+
     def report(self) -> DataFrame:
         """(split, source, documents, overlapping, pairs), counted by class: of copies only
         the number counts, so no pair of documents is written out."""
