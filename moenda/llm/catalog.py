@@ -48,6 +48,11 @@ def p2_pages(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(stored, pages.surroundings(stored))
 
 
+def p2_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines each rule keeps or removes."""
+    return pages.decided(table(spark, d, "wackywacky")).groupBy("rule", "around").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(table(spark, d, "wackywacky"))
 
@@ -149,7 +154,7 @@ SELECT w.row_number, CASE WHEN removed IS NULL THEN text ELSE coalesce(t, '') EN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_token_budget, p1_document_counts, p1_observed, p2_found, p2_pages, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p8_fits, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_token_budget, p1_document_counts, p1_observed, p2_found, p2_pages, p2_rules, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p8_fits, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
