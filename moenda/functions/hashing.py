@@ -14,12 +14,6 @@ def h64(data: bytes | str, seed: int = 0) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def h128(data: bytes | str) -> bytes:
-    if isinstance(data, str):
-        data = data.encode("utf-8", "surrogatepass")
-    return xxhash.xxh3_128_digest(data)
-
-
 def mix64(values: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64 over unsigned 64-bit integers."""
     x = values.astype(np.uint64, copy=True)

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import stable_hash
 from ..functions.text import normalized_paragraphs
 
+# What the hashes of paragraphs and blocks begin with.
+PARAGRAPH_TAG, BLOCK_TAG = "wackywacky-cross-domain-paragraph-v2", "wackywacky-within-domain-block-v2"
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -34,7 +37,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, domain, para_no, line_no, line, paragraph): every line with its hashed paragraph."""
     paragraphs = docs.select("doc", "domain", normalized_paragraphs(F.coalesce(F.col("text"), F.lit(""))).alias("p"))
     paragraphs = paragraphs.select("doc", "domain", F.posexplode(F.transform("p", lambda x: F.struct(x.alias("lines"), F.array_join(x, " ").alias("text")))).alias("para_no", "p"))
-    lines = paragraphs.select("doc", "domain", "para_no", stable_hash("paragraph", F.col("p.text")).alias("paragraph"), F.length("p.text").alias("para_chars"), F.posexplode("p.lines").alias("in_para", "line"))
+    lines = paragraphs.select("doc", "domain", "para_no", stable_hash(PARAGRAPH_TAG, F.col("p.text")).alias("paragraph"), F.length("p.text").alias("para_chars"), F.posexplode("p.lines").alias("in_para", "line"))
     return lines
 
 
@@ -45,7 +48,7 @@ def blocks_of(docs: DataFrame, rules: Rules) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(0), F.size("l") - w), lambda i: F.struct(i.alias("first"), F.slice("l", i + 1, w).alias("lines")))
     rows = flat.filter(F.size("l") >= w).select("doc", "domain", F.explode(windows).alias("b"))
     chars = F.aggregate("b.lines", F.lit(0), lambda a, x: a + F.length(x))
-    return rows.filter(chars >= rules.block_chars).select("doc", "domain", F.col("b.first").cast("bigint").alias("first"), stable_hash("block", F.array_join("b.lines", "\n")).alias("block"))
+    return rows.filter(chars >= rules.block_chars).select("doc", "domain", F.col("b.first").cast("bigint").alias("first"), stable_hash(BLOCK_TAG, F.array_join("b.lines", "\n")).alias("block"))
 
 
 def repeated_paragraphs(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -93,13 +93,13 @@ R = q.RULES
 PAGES = f"""docs AS (SELECT row_number AS doc, coalesce(domain_id, '') AS domain, {_clean("text")} AS text FROM wackywacky WHERE text IS NOT NULL),
 pp AS (SELECT doc, domain, {_paragraphs("text")} AS p FROM docs),
 para AS (SELECT doc, domain, unnest(p) AS lines, unnest(range(len(p))) AS para_no FROM pp),
-hashed AS (SELECT doc, domain, para_no, lines, {_h("'paragraph'", "array_to_string(lines, ' ')")} AS paragraph, length(array_to_string(lines, ' ')) AS chars FROM para),
+hashed AS (SELECT doc, domain, para_no, lines, {_h("'wackywacky-cross-domain-paragraph-v2'", "array_to_string(lines, ' ')")} AS paragraph, length(array_to_string(lines, ' ')) AS chars FROM para),
 rep_p AS (SELECT paragraph, count(DISTINCT doc) AS documents, count(DISTINCT domain) AS domains, count(*) AS occurrences FROM hashed WHERE chars >= {R.paragraph_chars}
 GROUP BY paragraph HAVING count(DISTINCT doc) >= {R.paragraph_documents} AND count(DISTINCT domain) >= {R.paragraph_domains}),
 line AS (SELECT doc, domain, para_no, paragraph, unnest(lines) AS line, unnest(range(len(lines))) AS in_para FROM hashed),
 num AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY para_no, in_para) - 1 AS line_no FROM line),
 win AS (SELECT doc, domain, line_no, line AS l0, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM num WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
-blk AS (SELECT doc, domain, line_no, {_h("'block'", "l0 || chr(10) || l1 || chr(10) || l2")} AS block FROM win WHERE l2 IS NOT NULL AND length(l0) + length(l1) + length(l2) >= {R.block_chars}),
+blk AS (SELECT doc, domain, line_no, {_h("'wackywacky-within-domain-block-v2'", "l0 || chr(10) || l1 || chr(10) || l2")} AS block FROM win WHERE l2 IS NOT NULL AND length(l0) + length(l1) + length(l2) >= {R.block_chars}),
 rep_b AS (SELECT domain, block, count(DISTINCT doc) AS documents, count(*) AS occurrences FROM blk GROUP BY domain, block HAVING count(DISTINCT doc) >= {R.block_documents}),
 doomed AS (SELECT DISTINCT doc, line_no + k AS line_no FROM blk JOIN rep_b USING (domain, block), (SELECT unnest([0, 1, 2]) AS k)),
 left_ AS (SELECT n.* FROM num n ANTI JOIN doomed d ON n.doc = d.doc AND n.line_no = d.line_no WHERE n.paragraph NOT IN (SELECT paragraph FROM rep_p)),

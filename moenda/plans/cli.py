@@ -1,14 +1,16 @@
-"""python -m moenda.plans.cli run|capacity|allocate|validate|inspect"""
+"""python -m moenda.plans.cli prepare|run|capacity|allocate|validate|inspect"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from ..operators import validate as checks
 from ..runtime import session
 from . import pipeline
+from .manifest import write_json_atomic
 
 
 def _candidates(value: str) -> int | str:
@@ -30,11 +32,17 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("--output", default="output")
         if name == "capacity":
             sub.add_argument("--candidate-documents", type=_candidates, default=pipeline.ALL, help="number of documents looked at, whatever the profile; all by default")
+    whole = commands.add_parser("prepare", help="from the files of a source, as configured")
+    for option in ("--configs", "--dataset", "--data"):
+        whole.add_argument(option, required=True)
+    whole.add_argument("--profile", default="smoke")
+    whole.add_argument("--output", default="output")
     for name in ("validate", "inspect"):
         commands.add_parser(name).add_argument("--path", required=True)
     allocate = commands.add_parser("allocate")
     allocate.add_argument("--reports", nargs="+", required=True)
     allocate.add_argument("--target", type=int, required=True)
+    allocate.add_argument("--output")
     args = parser.parse_args(argv)
     if args.command == "allocate":
         reports = []
@@ -42,6 +50,8 @@ def main(argv: list[str] | None = None) -> int:
             with open(path, encoding="utf-8") as f:
                 reports.append(json.load(f))
         result = pipeline.allocate(reports, args.target)
+        if args.output:
+            write_json_atomic(os.path.join(args.output, "allocations", f"{result['allocation_sha256'][:20]}.json"), result)
     else:
         spark = session()
         if args.command == "validate":
@@ -56,6 +66,14 @@ def main(argv: list[str] | None = None) -> int:
                 result[split] = checks.summary(rows).first().asDict()
         else:
             markers = None
+            if args.command == "prepare":
+                try:
+                    result = pipeline.prepare(spark, args.configs, args.dataset, args.profile, args.data, args.output)
+                except pipeline.ReviewRequired as gate:
+                    print(f"review required: {gate}", file=sys.stderr)
+                    return gate.exit_code
+                print(json.dumps(result, indent=2, sort_keys=True, ensure_ascii=False))
+                return 0
             if args.page_markers:
                 with open(args.page_markers, encoding="utf-8") as f:
                     markers = json.load(f)
@@ -66,6 +84,8 @@ def main(argv: list[str] | None = None) -> int:
             except pipeline.ReviewRequired as gate:
                 print(f"review required: {gate}", file=sys.stderr)
                 return gate.exit_code
+        if args.command == "capacity":
+            write_json_atomic(os.path.join(args.output, "capacity", f"{args.dataset}-{result['capacity_report_id']}.json"), result)
     print(json.dumps(result, indent=2, sort_keys=True, ensure_ascii=False))
     return 0
 

@@ -10,7 +10,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import file_sha256
@@ -68,11 +68,15 @@ def write_shards(rows: DataFrame, folder: str, rows_per_shard: int = SHARD_ROWS)
     ``sequence`` (numbers from 0 without gaps); returns a record per shard.
 
     Each shard is one group of a shuffle by its number, written to a temporary name and
-    renamed, so a repeated or speculative task leaves the same file.  The folder must be
-    shared by the executors.
+    renamed, so a repeated or speculative task leaves the same file.  A shard that is there already is
+    used if it holds the same rows, and an error if not.  The folder must be shared by the executors.
     """
     os.makedirs(folder, exist_ok=True)
 
+    def record(name: str, out: pa.Table) -> pa.Table:
+        path = os.path.join(folder, name)
+        return pa.table({"path": [name], "rows": [out.num_rows], "tokens": [out.num_rows * LENGTH], "size_bytes": [os.path.getsize(path)], "sha256": [file_sha256(path)]})
+
     def write(table: pa.Table) -> pa.Table:
         schema, number = shard_schema(), table["shard"][0].as_py()
         table = table.sort_by("sequence")
@@ -81,31 +85,52 @@ def write_shards(rows: DataFrame, folder: str, rows_per_shard: int = SHARD_ROWS)
         out = pa.table([rest.get(f.name, ids) for f in schema], schema=schema)
         name = f"shard-{number:05d}.parquet"
         path = os.path.join(folder, name)
+        if os.path.lexists(path):  # of a run that was stopped: used if it is the same
+            if os.path.islink(path) or not pq.read_table(path).equals(out):
+                raise OSError(f"{name} is there with other rows")
+            return record(name, out)
         partial = f"{path}.{uuid.uuid4().hex}.partial"
         pq.write_table(out, partial, compression="zstd", version="2.6", use_dictionary=False, write_statistics=True)
         if not pq.read_table(partial).equals(out):
             raise OSError(f"{name} was not written as given")
         os.replace(partial, path)
-        return pa.table({"path": [name], "rows": [out.num_rows], "tokens": [out.num_rows * LENGTH], "size_bytes": [os.path.getsize(path)], "sha256": [file_sha256(path)]})
+        return record(name, out)
 
     keyed = rows.select(F.expr(f"sequence div {rows_per_shard}").alias("shard"), "sequence", "sequence_id", "input_ids", "source_ref_sha256", "source_token_counts")
     made = keyed.groupBy("shard").applyInArrow(write, "path string, rows bigint, tokens bigint, size_bytes bigint, sha256 string")
     return sorted((r.asDict() for r in made.collect()), key=lambda r: r["path"])  # a row per file
 
 
-def validate_shards(folder: str, records: list[dict]) -> None:
-    """Files as recorded, none missing or surplus, schema and compression right."""
+def _fault(folder: str, r: dict) -> str | None:
+    path = os.path.join(folder, r["path"])
+    if os.path.islink(path) or os.path.getsize(path) != r["size_bytes"] or file_sha256(path) != r["sha256"]:
+        return f"{r['path']} was changed"
+    meta = pq.ParquetFile(path)
+    if not meta.schema_arrow.equals(shard_schema()) or meta.metadata.num_rows != r["rows"] or r["rows"] < 1:
+        return f"{r['path']} has another schema or number of rows"
+    groups = (meta.metadata.row_group(g) for g in range(meta.metadata.num_row_groups))
+    if any(g.column(c).compression != "ZSTD" for g in groups for c in range(g.num_columns)):
+        return f"{r['path']} is not compressed with ZSTD"
+    return None
+
+
+def validate_shards(spark: SparkSession, folder: str, records: list[dict]) -> None:
+    """Files as recorded, none missing or surplus, schema and compression right.
+
+    The driver compares names; the files are read and hashed by tasks, some at a time each.
+    """
     here = sorted(n for n in os.listdir(folder)) if os.path.isdir(folder) else []
     if here != sorted(r["path"] for r in records):
         raise ValueError("the files of the folder differ from the manifest")
-    for r in records:
-        path = os.path.join(folder, r["path"])
-        if os.path.islink(path) or os.path.getsize(path) != r["size_bytes"] or file_sha256(path) != r["sha256"]:
-            raise ValueError(f"{r['path']} was changed")
-        meta = pq.ParquetFile(path)
-        if not meta.schema_arrow.equals(shard_schema()) or meta.metadata.num_rows != r["rows"] or r["rows"] < 1:
-            raise ValueError(f"{r['path']} has another schema or number of rows")
-        for g in range(meta.metadata.num_row_groups):
-            group = meta.metadata.row_group(g)
-            if any(group.column(c).compression != "ZSTD" for c in range(group.num_columns)):
-                raise ValueError(f"{r['path']} is not compressed with ZSTD")
+    if not records:
+        return
+
+    def run(batches):
+        for batch in batches:
+            found = [fault for r in batch.to_pylist() if (fault := _fault(folder, r))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["fault"])
+
+    listed = spark.createDataFrame([tuple(r[k] for k in ("path", "rows", "size_bytes", "sha256")) for r in records], "path string, rows bigint, size_bytes bigint, sha256 string")
+    parts = min(len(records), 4 * spark.sparkContext.defaultParallelism)
+    for row in listed.repartition(parts, "path").mapInArrow(run, "fault string").limit(1).collect():
+        raise ValueError(row["fault"])

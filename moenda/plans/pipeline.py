@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.tokenizers import CodePoints, Tokenizer
 from ..operators import boilerplate, dedup, filters, pack, schedule, validate
 from ..runtime import written
 from .manifest import content_id, digest, reject_absolute_paths, validate_shards, write_json_atomic, write_shards
@@ -133,7 +134,9 @@ def reviewed(candidates: DataFrame, spec: Spec) -> tuple[DataFrame, dict | None]
         "removal": boilerplate.report(left, spec.rules).first().asDict(), "applied": spec.decision == "remove_exact", "finalization_blocked": spec.decision == "pending",
     }
     if spec.decision == "remove_exact":
-        left = written(left.drop("text").join(boilerplate.removed(left, spec.rules).filter("kept").select("doc", "text"), "doc"), "review-removed")
+        gone = written(boilerplate.removed(left, spec.rules).filter("kept").select("doc", "text"), "review-removed")
+        again = written(gone.select("doc", tx.cleaned(F.col("text")).alias("text")).filter("text <> ''"), "review-again")
+        left = left.drop("text").join(again, "doc")
     return left.select("position", "text", F.col("doc").alias("source_ref")), report
 
 
@@ -147,8 +150,12 @@ def survivors(documents: DataFrame, spec: Spec) -> DataFrame:
     return kept
 
 
-def records_of(kept: DataFrame) -> DataFrame:
-    return kept.select("dataset_id", "source_hash", tx.codepoint_count(F.col("text")).alias("n"))
+#: The tokenizer where none is given.
+CODE_POINTS = CodePoints()
+
+
+def records_of(kept: DataFrame, tokenizer: Tokenizer = CODE_POINTS) -> DataFrame:
+    return kept.select("dataset_id", "source_hash", tokenizer.count(F.col("text")).alias("n"))
 
 
 def source_digest(documents: DataFrame, columns: list[str] = []) -> str:
@@ -157,17 +164,18 @@ def source_digest(documents: DataFrame, columns: list[str] = []) -> str:
     return digest([row["n"], str(row["s"])])
 
 
-def run(spark: SparkSession, documents: DataFrame, spec: Spec, root: str) -> dict:
+def run(spark: SparkSession, documents: DataFrame, spec: Spec, root: str, tokenizer: Tokenizer = CODE_POINTS, source: str | None = None, metrics: dict[str, int] | None = None) -> dict:
     """Prepares a data set below ``root`` and returns its manifest.
 
     The manifest is written last; where it exists, it is validated and returned.
     A pending decision leaves the boilerplate report below ``root``, if there are domains.
+    ``source`` identifies the documents where their source does; ``metrics`` are kept in the manifest.
     """
     if spec.decision == "pending" and "domain" not in documents.columns:
         raise ReviewRequired(f"{spec.dataset_id} (no report without domain)")
     require_columns(documents, spec)
-    source = source_digest(documents, spec.columns)
-    ident = content_id(config=spec.resolved(), source=source, tokenizer="codepoint-200")
+    source = source or source_digest(documents, spec.columns)
+    ident = content_id(config=spec.resolved(), source=source, tokenizer=tokenizer.fingerprint())
     folder = os.path.join(root, spec.dataset_id, ident)
     path = os.path.join(folder, "dataset_manifest.json")
     if os.path.exists(path):
@@ -179,16 +187,16 @@ def run(spark: SparkSession, documents: DataFrame, spec: Spec, root: str) -> dic
     if spec.decision == "pending":
         raise ReviewRequired(f"{spec.dataset_id} (see {spec.dataset_id}/{ident}/{REPORT})")
     kept = written(survivors(candidates, spec), "kept")
-    placed = written(pack.placed(pack.split_by_budget(records_of(kept), spec.budget.eval_sequences, spec.seed), spec.seed), "placed")
+    placed = written(pack.placed(pack.split_by_budget(records_of(kept, tokenizer), spec.budget.eval_sequences, spec.seed), spec.seed), "placed")
     limits = {"train": spec.budget.train_sequences, "eval": spec.budget.eval_sequences}
     tails = pack.tails(placed, limits=limits)
     pack.require_budget(tails, limits)
-    ids = kept.select("dataset_id", "source_hash", tx.codepoint_ids(F.col("text")).alias("input_ids"))
+    ids = kept.select("dataset_id", "source_hash", tokenizer.ids(F.col("text")).alias("input_ids"))
     rows = written(pack.sequence_ids(pack.sequences(pack.pieces(placed, limits=limits), ids)), "sequences")
     validate.require_valid(rows)
     shards = {split: write_shards(rows.filter(F.col("split") == split), os.path.join(folder, split)) for split in ("train", "eval")}
     manifest = {
-        "dataset_id": spec.dataset_id, "profile": spec.profile, "preparation_id": ident, "resolved_config_sha256": digest(spec.resolved()), "source_digest": source,
+        "dataset_id": spec.dataset_id, "profile": spec.profile, "preparation_id": ident, "resolved_config_sha256": digest(spec.resolved()), "source_digest": source, "tokenizer": {"name": tokenizer.name, "fingerprint_sha256": tokenizer.fingerprint()}, "scan_metrics": metrics or {},
         "counts": {split: sum(s["rows"] for s in shards[split]) for split in shards}, "discards": {r["split"]: {"not_selected": r["not_selected"], "tail": r["tail"]} for r in tails.collect()}, "shards": shards,
     }
     if report:
@@ -198,6 +206,25 @@ def run(spark: SparkSession, documents: DataFrame, spec: Spec, root: str) -> dic
     return validate_preparation(spark, folder)
 
 
+def prepare(spark: SparkSession, configs: str, dataset_id: str, profile: str, data: str, root: str, tokenizer: Tokenizer = CODE_POINTS) -> dict:
+    """From the files of a source to validated shards, as its configuration says."""
+    from ..sources import adapters
+    from . import config
+
+    resolved, _ = config.load(configs, dataset_id, profile)
+    root = config.output_root(root, data)
+    spec = config.spec_of(resolved)
+    cache = StageCache(root, dataset_id, {"scan": config.scan_digest(resolved)})
+    guard = adapters.guard_of(data, resolved)
+    if (kept := cache.get(spark, "documents", guard)) is None:
+        scan = adapters.adapter_of(dataset_id).scan(spark, data, resolved)
+        kept = cache.put(scan.documents, "documents", {"source": guard, "source_sha256": scan.source_sha256, "metrics": scan.metrics, "capped": scan.capped})
+    documents, side = kept
+    manifest = run(spark, documents, spec, root, tokenizer, side["source_sha256"], side["metrics"])
+    cache.clear()
+    return manifest
+
+
 def validate_preparation(spark: SparkSession, folder: str) -> dict:
     """Raises unless files, rows, counts, splits and discards agree with the manifest."""
     with open(os.path.join(folder, "dataset_manifest.json"), encoding="utf-8") as f:
@@ -213,7 +240,7 @@ def validate_preparation(spark: SparkSession, folder: str) -> dict:
         raise ValueError("files or identity of the preparation don't match")
     rows = None
     for split, records in manifest["shards"].items():
-        validate_shards(os.path.join(folder, split), records)
+        validate_shards(spark, os.path.join(folder, split), records)
         if sum(r["rows"] for r in records) != manifest["counts"][split]:
             raise ValueError(f"{split}: rows of the shards don't add up")
         part = spark.read.parquet(os.path.join(folder, split)).withColumn("split", F.lit(split))
@@ -231,7 +258,7 @@ def validate_preparation(spark: SparkSession, folder: str) -> dict:
 ALL = "all"
 
 
-def capacity(documents: DataFrame, spec: Spec, record_capped: bool = False, eval_reserve: int = 256, candidate_documents: int | str | None = None) -> dict:
+def capacity(documents: DataFrame, spec: Spec, record_capped: bool = False, eval_reserve: int = 256, candidate_documents: int | str | None = None, tokenizer: Tokenizer = CODE_POINTS) -> dict:
     """Sequences a data set can give beside the evaluation reserve.
 
     ``candidate_documents`` overrides the profile's number; ``ALL`` is no limit.
@@ -246,7 +273,7 @@ def capacity(documents: DataFrame, spec: Spec, record_capped: bool = False, eval
     seen = eligible(documents, spec)
     if wanted != ALL:
         seen = seen.orderBy("position").limit(wanted)
-    report = pack.capacity(pack.split_by_budget(records_of(survivors(reviewed(seen, spec)[0], spec)), eval_reserve, spec.seed), eval_reserve).first()
+    report = pack.capacity(pack.split_by_budget(records_of(survivors(reviewed(seen, spec)[0], spec), tokenizer), eval_reserve, spec.seed), eval_reserve).first()
     n = seen.count()
     found = {"dataset_id": spec.dataset_id, "capacity_kind": "exact" if (wanted == ALL or n < wanted) and not record_capped else "lower_bound", "candidate_documents": wanted, "documents": n, "train_sequences": report["train_sequences"] if report else 0, "eval_reserved": bool(report and report["eval_reserved"])}
     if not found["eval_reserved"]:
@@ -254,8 +281,26 @@ def capacity(documents: DataFrame, spec: Spec, record_capped: bool = False, eval
     return found | {"capacity_report_id": content_id(**found)}
 
 
+def require_report(report: dict) -> None:
+    """Raises unless a capacity report has its keys, plausible values and its own identity."""
+    kinds = {"dataset_id": str, "capacity_kind": str, "documents": int, "train_sequences": int, "eval_reserved": bool, "capacity_report_id": str}
+    wrong = [k for k, kind in kinds.items() if type(report.get(k)) is not kind]
+    if wrong or report["capacity_kind"] not in ("exact", "lower_bound") or min(report["documents"], report["train_sequences"]) < 0 or not report["eval_reserved"]:
+        raise ValueError(f"no capacity report: {', '.join(wrong) or report.get('dataset_id')}")
+    if content_id(**{k: v for k, v in report.items() if k != "capacity_report_id"}) != report["capacity_report_id"]:
+        raise ValueError(f"the capacity report of {report['dataset_id']} was changed")
+
+
+def require_allocation(allocation: dict, reports: list[dict]) -> None:
+    """Raises unless an allocation is the one that these reports give."""
+    if allocation != allocate(reports, allocation["target"]):
+        raise ValueError("the allocation isn't that of the reports")
+
+
 def allocate(reports: list[dict], target: int) -> dict:
     """Training sequences of each data set, whatever the order of the reports."""
+    for report in reports:
+        require_report(report)
     if target % 8:
         raise ValueError("the target must be a multiple of 8")
     by_name = {r["dataset_id"]: r for r in sorted(reports, key=lambda r: r["dataset_id"])}
@@ -289,25 +334,27 @@ def resolve_inputs(root: str, names: list[str], profile: str, config_sha256: dic
 
 
 class StageCache:
-    """Tables kept between runs under the digest of what made them, with a sidecar that
-    is written last; another digest or a damaged sidecar is no hit."""
+    """Tables kept between runs under the digest of what made them, with a sidecar that is written
+    last: a run that was stopped at its review or before its end goes on from them."""
 
     def __init__(self, root: str, dataset_id: str, config: dict):
         self.folder = os.path.join(root, ".work", dataset_id, digest(config))
 
-    def get(self, spark: SparkSession, name: str, fingerprint: str) -> DataFrame | None:
+    def get(self, spark: SparkSession, name: str, source: str | None = None) -> tuple[DataFrame, dict] | None:
+        """The table and its sidecar; another ``source`` than that it was made from is an error."""
         side = os.path.join(self.folder, f"{name}.json")
         if not os.path.exists(side):
             return None
         with open(side, encoding="utf-8") as f:
-            if json.load(f) != {"fingerprint": fingerprint}:
-                raise ValueError("the source changed since the stage was kept")
-        return spark.read.parquet(os.path.join(self.folder, name))
+            found = json.load(f)
+        if source is not None and found.get("source") != source:
+            raise ValueError("the source changed since the stage was kept")
+        return spark.read.parquet(os.path.join(self.folder, name)), found
 
-    def put(self, df: DataFrame, name: str, fingerprint: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, side: dict) -> tuple[DataFrame, dict]:
         df.write.mode("overwrite").parquet(os.path.join(self.folder, name))
-        write_json_atomic(os.path.join(self.folder, f"{name}.json"), {"fingerprint": fingerprint})
-        return df.sparkSession.read.parquet(os.path.join(self.folder, name))
+        write_json_atomic(os.path.join(self.folder, f"{name}.json"), side)
+        return df.sparkSession.read.parquet(os.path.join(self.folder, name)), side
 
     def clear(self) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)

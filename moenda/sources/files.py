@@ -16,22 +16,29 @@ PAGE_COLUMNS = (
 DIALOGUE_SCHEMA = "array<struct<dialogue_id:string,turns:array<struct<speaker:string,utterance:string>>>>"
 
 
-def pages_tsv(spark: SparkSession, path: str, max_field_chars: int | None = None) -> DataFrame:
-    """The 19 columns of a page dump, and its lines' order as ``position``.
+def pages_tsv(spark: SparkSession, path: str, max_field_bytes: int | None = None) -> DataFrame:
+    """The 19 columns of a page dump of one or more files, and its lines' order as ``position``.
 
-    Quotes and backslashes are data; a line with another number of fields, a field over
-    the limit or another header is an error.  ``position`` grows with the line and has
-    gaps; it comes from the file's splits and costs no pass over the data.
+    Quotes and backslashes are data; a line with another number of fields or that isn't UTF-8, a field over
+    the limit or a file with another header is an error.  ``position`` grows with the line and has
+    gaps; it comes from the files' splits and costs no pass over the data.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("position"), F.regexp_replace("value", r"\r\z", "").alias("line"))
-    head = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-    if not head or head[0]["value"].lstrip("﻿").rstrip("\r").split("\t") != PAGE_COLUMNS:
+    raw = spark.read.option("lineSep", "\n").text(path)
+    place = F.col("_metadata.file_block_start")
+    lines = raw.select(F.monotonically_increasing_id().alias("position"), "value", F.when(place == 0, F.col("_metadata.file_path")).alias("start"))
+    header = "\t".join(PAGE_COLUMNS)
+    heads = lines.filter("start is not null").groupBy("start").agg(F.min_by("value", "position").alias("head"), F.min("position").alias("position"))
+    heads = heads.collect()  # a row per file
+    plain = [(r["head"] or "").lstrip("\ufeff").rstrip("\r") for r in heads]
+    if not heads or any(x != header for x in plain):
         raise ValueError("the header of the page dump is not as expected")
-    fields = F.split("line", "\t", -1)
-    good = F.size(fields) == len(PAGE_COLUMNS)
-    if max_field_chars:
-        good = good & ~F.exists(fields, lambda x: F.length(x) > max_field_chars)
-    rows = lines.filter((F.col("position") > 0) & (F.col("line") != "")).withColumn("f", F.when(good, fields).otherwise(F.raise_error(F.lit("malformed line in the page dump"))))
+    lines = lines.filter(~F.col("position").isin([r["position"] for r in heads]))
+    line = F.regexp_replace("value", r"\r\z", "")
+    fields = F.split(line, "\t", -1)
+    good = (F.size(fields) == len(PAGE_COLUMNS)) & F.is_valid_utf8("value")
+    if max_field_bytes:
+        good = good & ~F.exists(fields, lambda x: F.octet_length(x) > max_field_bytes)
+    rows = lines.filter(line != "").withColumn("f", F.when(good, fields).otherwise(F.raise_error(F.lit("malformed line in the page dump"))))
     return rows.select("position", *(F.col("f")[i].alias(name) for i, name in enumerate(PAGE_COLUMNS)))
 
 
@@ -47,20 +54,38 @@ def dialogues_json(spark: SparkSession, folder: str, files: int = 17) -> DataFra
     return dialogues.select("file", "dialogue_index", F.posexplode_outer("d.turns").alias("turn_index", "t")).select("file", "dialogue_index", "turn_index", "t.speaker", "t.utterance")
 
 
-def scored_parquet(spark: SparkSession, folder: str, shards: int | None = None, pattern: str = "*.parquet") -> DataFrame:
-    """text, edu_int_score and, where present, source and subset; nothing else is read."""
+def scored_parquet(spark: SparkSession, folder: str, shards: int | None = None, pattern: str = "*.parquet", places: bool = False) -> DataFrame:
+    """text, edu_int_score and, where present, source and subset; nothing else is read.  With ``places`` also
+    the name of the shard and the row in it."""
     rows = spark.read.option("pathGlobFilter", pattern).parquet(folder)
     if shards is not None and (n := len(rows.inputFiles())) != shards:
         raise ValueError(f"expected {shards} shards, found {n}")
     missing = {"text", "edu_int_score"} - set(rows.columns)
     if missing:
         raise ValueError(f"columns {sorted(missing)} are missing")
-    return rows.select("text", "edu_int_score", *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("source", "subset")))
+    where = [F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row")] if places else []
+    return rows.select(*where, "text", "edu_int_score", *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("source", "subset")))
 
 
-def file_sha256(path: str) -> str:
+def file_sha256(path: str, first: int | None = None) -> str:
+    """Digest of a file, or of its first bytes; it is read in pieces."""
     with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+        if first is None:
+            return hashlib.file_digest(f, "sha256").hexdigest()
+        found = hashlib.sha256()
+        while first and (piece := f.read(min(first, 1 << 20))):
+            found.update(piece)
+            first -= len(piece)
+        return found.hexdigest()
+
+
+def digest_of(value) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def unchanged(path: str, guard: dict) -> bool:
+    """Whether a file still has the size and the windows that a guard was taken of."""
+    return os.path.getsize(path) == guard["size"] and sampled_guard(path, guard["window"]) == guard
 
 
 def files_digest(paths: list[str]) -> str:
@@ -91,7 +116,7 @@ def sampled_guard(path: str, window: int = 65_536) -> dict:
         for quarter in range(5):
             f.seek(max(0, min(size * quarter // 4, size - window)))
             digests.append(hashlib.sha256(f.read(window)).hexdigest())
-    return {"size": size, "windows": digests}
+    return {"size": size, "window": window, "windows": digests}
 
 
 def safe_path(root: str, name: str) -> str:

@@ -50,13 +50,13 @@ def decode(payload: str | None, md5: str | None, largest: int = LARGEST) -> tupl
         return None, "non_utf8_decompressed_texts", matches
 
 
-def decoded(rows: DataFrame, key: str, payload: str, md5: str) -> DataFrame:
+def decoded(rows: DataFrame, key: str, payload: str, md5: str, largest: int = LARGEST) -> DataFrame:
     """(key, text, reason, md5_match) of each row."""
     kind = dict(rows.dtypes)[key]
 
     def run(batches):
         for batch in batches:
-            out = [decode(p, m) for p, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            out = [decode(p, m, largest) for p, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.bool_())], names=[key, "text", "reason", "md5_match"])
 
     return rows.select(key, payload, md5).mapInArrow(run, f"`{key}` {kind}, text string, reason string, md5_match boolean")

@@ -40,6 +40,15 @@ def test_run_is_repeatable_and_private(spark, documents, tmp_path):
     (base / "train" / "extra.parquet").write_bytes(b"x")
     with pytest.raises(ValueError, match="differ from the manifest"):
         pipeline.validate_preparation(spark, str(base))
+    os.remove(base / "train" / "extra.parquet")
+    # a run that was stopped before its manifest uses the shards that are there
+    os.remove(base / "dataset_manifest.json")
+    before = os.stat(base / "train" / "shard-00000.parquet").st_mtime_ns
+    assert pipeline.run(spark, documents, spec, str(tmp_path / "a")) == one and os.stat(base / "train" / "shard-00000.parquet").st_mtime_ns == before
+    os.remove(base / "dataset_manifest.json")
+    pq.write_table(pq.read_table(base / "train" / "shard-00000.parquet").slice(1), base / "train" / "shard-00000.parquet")
+    with pytest.raises(Exception, match="with other rows"):
+        pipeline.run(spark, documents, spec, str(tmp_path / "a"))
 
 
 def test_gates(spark, documents, tmp_path):
@@ -107,10 +116,17 @@ def test_capacity_and_allocation(documents):
     assert report["capacity_kind"] == "exact" and report["train_sequences"] > 5
     less = pipeline.capacity(documents, pipeline.Spec("x", profiles={"smoke": pipeline.Profile(8, 2, 20)}), eval_reserve=2)
     assert less["capacity_kind"] == "lower_bound"
-    reports = [dict(report, dataset_id=n) for n in "abc"]
+    reports = [r | {"capacity_report_id": manifest.content_id(**{k: v for k, v in r.items() if k != "capacity_report_id"})} for r in (dict(report, dataset_id=n) for n in "abc")]
     assert pipeline.allocate(reports, 24) == pipeline.allocate(reports[::-1], 24)
     with pytest.raises(ValueError, match="available_sequences"):
         pipeline.allocate(reports, 8_000)
+    found = pipeline.allocate(reports, 16)
+    pipeline.require_allocation(found, reports[::-1])
+    with pytest.raises(ValueError, match="isn't that"):
+        pipeline.require_allocation(found | {"target": 8}, reports)
+    for change in ({"train_sequences": 10**6}, {"documents": True}, {"capacity_kind": "some"}):
+        with pytest.raises(ValueError, match="capacity report"):
+            pipeline.allocate([reports[0] | change], 8)
     with pytest.raises(ValueError):
         pipeline.allocate(reports, 7)
 
@@ -142,10 +158,13 @@ def test_capacity_of_more_than_the_profile(spark, documents, tmp_path, capsys, m
 def test_stage_cache(spark, tmp_path):
     cache = pipeline.StageCache(str(tmp_path), "d", {"a": 1})
     assert cache.get(spark, "s", "f") is None
-    cache.put(spark.range(3), "s", "f")
-    assert cache.get(spark, "s", "f").count() == 3
+    cache.put(spark.range(3), "s", {"source": "f", "n": 2})
+    rows, side = cache.get(spark, "s", "f")
+    assert rows.count() == 3 and side["n"] == 2
     with pytest.raises(ValueError):
         cache.get(spark, "s", "other")
+    cache.clear()
+    assert cache.get(spark, "s", "f") is None
 
 
 def test_manifest_helpers(tmp_path):
@@ -180,6 +199,18 @@ def test_page_dump(spark, tmp_path):
     path.write_text(f"{good}\n{row}\r\n{row}\n", encoding="utf-8")
     rows = files.pages_tsv(spark, str(path)).collect()
     assert len(rows) == 2 and rows[0]["title"] == '"quoted' and rows[0]["updated_at"] == "u"
+    two = tmp_path / "two"
+    two.mkdir()
+    for name in "ab":
+        (two / name).write_text(f"{good}\n{row}\n", encoding="utf-8")
+    assert files.pages_tsv(spark, str(two)).count() == 2
+    path.write_bytes(f"{good}\n{row}\n".encode().replace(b"quoted", b"q\xff"))
+    with pytest.raises(Exception, match="malformed"):
+        files.pages_tsv(spark, str(path)).collect()
+    path.write_text(f"{good}\n{row.replace('quoted', 'é' * 6)}\n", encoding="utf-8")
+    assert files.pages_tsv(spark, str(path), 13).count() == 1
+    with pytest.raises(Exception, match="malformed"):
+        files.pages_tsv(spark, str(path), 12).collect()
     path.write_text(f"{good}\na\tb\n", encoding="utf-8")
     with pytest.raises(Exception, match="malformed"):
         files.pages_tsv(spark, str(path)).collect()
