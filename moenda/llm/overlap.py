@@ -114,12 +114,12 @@ def _sets_of(documents: DataFrame, width: int, min_words: int) -> DataFrame:
     return spread(documents.select("doc_id", "split", "source", "text")).mapInArrow(run, "doc_id bigint, split string, source string, a bigint, b bigint, runs array<bigint>")
 
 
-def _order(classes: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
+def _order(sets: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
     """uint8 counts of the runs by entry: 0 for those of no evaluation set, 1 to 16 by the counts in both splits, and its bits."""
-    held = classes.filter("split = 'eval'").select(F.explode("runs").alias("h"))
+    held = sets.filter("split = 'eval'").select(F.explode("runs").alias("h"))
     bits = sketch.bits_for(held.count(), most=most_bits)
     evaluation = sketch.counts(held, "h", bits)
-    known = classes.sparkSession.sparkContext.broadcast(np.packbits(evaluation > 0))
+    known = sets.sparkSession.sparkContext.broadcast(np.packbits(evaluation > 0))
 
     def run(batches):
         several = known.value
@@ -128,22 +128,22 @@ def _order(classes: DataFrame, most_bits: int) -> tuple[np.ndarray, int]:
             at = sketch.bucket_of(runs, bits)
             yield pa.RecordBatch.from_arrays([pa.array(runs[several[at >> 3] >> (7 - (at & 7)) & 1 == 1])], names=["h"])
 
-    training = sketch.counts(classes.filter("split = 'train'").select("runs").mapInArrow(run, "h bigint"), "h", bits)
+    training = sketch.counts(sets.filter("split = 'train'").select("runs").mapInArrow(run, "h bigint"), "h", bits)
     ranks = 1 + np.floor(2 * np.log2(np.maximum(evaluation.astype(np.int64) + training, 1))).astype(np.uint8)
     return np.where(evaluation > 0, ranks, 0).astype(np.uint8), bits
 
 
-def _prefixes(classes: DataFrame, order: np.ndarray, bits: int, threshold: float) -> DataFrame:
-    """(split, doc, size, unseen, m0 to m7, h) of each class: number of runs, how
+def _prefixes(sets: DataFrame, order: np.ndarray, bits: int, threshold: float) -> DataFrame:
+    """(doc_id, split, a, b, size, unseen, m0 to m7, h) of each set: number of runs, how
     many are surely in no evaluation document, parities of the runs by their last nine
     bits and, of the prefix, the runs behind the unseen ones."""
-    held = classes.sparkSession.sparkContext.broadcast(order)
+    held = sets.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         known = held.value
         for batch in batches:
             sizes, prefix, parity, absent = [], [], [], []
-            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            ends, values = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
             ranks = known[sketch.bucket_of(values, bits)]
             low = (values & 511).astype(np.int64)
             for start, end in zip(ends[:-1], ends[1:]):
@@ -156,11 +156,11 @@ def _prefixes(classes: DataFrame, order: np.ndarray, bits: int, threshold: float
                 prefix.append(runs[np.argsort(own, kind="stable")[unseen:take]])
             maps = np.array(parity, np.uint8).reshape(-1, 64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(sizes, pa.int32()), pa.array(absent, pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(8)), _lists(prefix, pa.int64())],
-                names=["split", "doc", "size", "unseen", *_MAPS, "h"],
+                [*batch.columns[:4], pa.array(sizes, pa.int32()), pa.array(absent, pa.int32()), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(8)), _lists(prefix, pa.int64())],
+                names=["doc_id", "split", "a", "b", "size", "unseen", *_MAPS, "h"],
             )
 
-    return classes.select("split", "doc", "runs").mapInArrow(run, "split string, doc bigint, size int, unseen int, " + ", ".join(f"{m} bigint" for m in _MAPS) + ", h array<bigint>")
+    return sets.select("doc_id", "split", "a", "b", "runs").mapInArrow(run, "doc_id bigint, split string, a bigint, b bigint, size int, unseen int, " + ", ".join(f"{m} bigint" for m in _MAPS) + ", h array<bigint>")
 
 
 class Overlaps:
@@ -176,17 +176,16 @@ class Overlaps:
         rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "split", "source", "text")
         sets = written(_sets_of(rows, width, min_words), "overlap-sets")
         self.members = sets.select("doc_id", "split", "source", "a", "b").distinct()
-        # one row a class and split, that of the least doc_id; the sets of other members are the same
-        firsts = sets.groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"))
-        classes = sets.join(firsts, ["split", "a", "b"]).filter("doc_id = doc").dropDuplicates(["split", "a", "b"])
-        classes = written(classes.select("split", "doc", "a", "b", "runs"), "overlap-classes")
-        order, bits = _order(classes, most_bits)
-        prefixes = written(_prefixes(classes, order, bits, threshold).filter(F.size("h") > 0), "overlap-prefixes")
-        self.pairs = written(self._verified(self._candidates(prefixes, threshold), classes, threshold), "overlap-pairs")
+        order, bits = _order(sets, most_bits)
+        prefixes = _prefixes(sets, order, bits, threshold).filter(F.size("h") > 0)
+        # one row a class and split, named by its least doc_id; all else is the same for all members
+        classes = prefixes.groupBy("split", "a", "b").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("size", "unseen", *_MAPS, "h")))
+        classes = written(classes, "overlap-classes")
+        self.pairs = written(self._verified(self._candidates(classes, threshold), sets, threshold), "overlap-pairs")
 
     @staticmethod
-    def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
-        entries = prefixes.select("split", "doc", "size", "unseen", F.posexplode("h").alias("at", "h"))
+    def _candidates(classes: DataFrame, threshold: float) -> DataFrame:
+        entries = classes.select("split", "doc", "size", "unseen", F.posexplode("h").alias("at", "h"))
         # size and place share a column, as there is a row for every run of every prefix
         entries = entries.select("split", "doc", "h", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR((F.col("unseen") + F.col("at")).cast("bigint")).alias("place"))
 
@@ -212,19 +211,19 @@ class Overlaps:
         # a run of one set only turns the parity of its entry: as many entries differ, so many
         # runs at least are not common
         for side, split in (("x", "eval"), ("y", "train")):
-            own = prefixes.filter(F.col("split") == split)
+            own = classes.filter(F.col("split") == split)
             met = met.join(own.select(F.col("doc").alias(f"{side}_doc"), F.col("size").alias(f"{side}_size"), *(F.col(m).alias(f"{side}_{m}") for m in _MAPS)), f"{side}_doc")
         apart = sum((F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in _MAPS), F.lit(0))
         return met.filter((F.col("x_size") + F.col("y_size") - apart) / 2 >= needed(F.col("x_size"), F.col("y_size"))).select("x_doc", "y_doc")
 
     @staticmethod
-    def _verified(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    def _verified(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         both = written(candidates, "overlap-candidates")
         few = both.count() <= BROADCAST_IDS
         for side, split in (("x", "eval"), ("y", "train")):
-            wanted = both.select(F.col(f"{side}_doc").alias("doc")).distinct()
-            own = classes.filter(F.col("split") == split).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
-            both = both.join(own.select(F.col("doc").alias(f"{side}_doc"), *(F.col(c).alias(f"{side}_{c}") for c in ("a", "b", "runs"))), f"{side}_doc")
+            wanted = both.select(F.col(f"{side}_doc").alias("doc_id")).distinct()
+            own = sets.filter(F.col("split") == split).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            both = both.join(own.select(F.col("doc_id").alias(f"{side}_doc"), *(F.col(c).alias(f"{side}_{c}") for c in ("a", "b", "runs"))), f"{side}_doc")
         both = both.withColumn("common", F.size(F.array_intersect("x_runs", "y_runs")))
         union = F.size("x_runs") + F.size("y_runs") - F.col("common")
         return both.filter(F.col("common") >= F.lit(threshold) * union - 1e-9).select("x_a", "x_b", "y_a", "y_b", (F.col("common") / union).alias("similarity"))
