@@ -152,6 +152,15 @@ SELECT source, language, domain, count(*) AS documents, CAST(sum(n) AS BIGINT) A
 SELECT w.row_number, CASE WHEN removed IS NULL THEN text ELSE coalesce(t, '') END AS text, coalesce(removed, 0) AS removed FROM wackywacky w LEFT JOIN n USING (row_number) LEFT JOIN kept USING (row_number)""",
 }
 
+# accents: what is left of a decomposed letter; words are whole runs of letters and digits
+_WORDS = "regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')"
+SQL["p6_found"] = f"""WITH s AS (SELECT DISTINCT source_ref_sha256 AS ref, split FROM tokenized_document WHERE split IN ('eval', 'train')),
+d AS (SELECT doc_id, split, {_WORDS} AS w FROM documents JOIN s ON sha256(source_ref) = ref WHERE text IS NOT NULL),
+r AS (SELECT DISTINCT doc_id, split, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS h FROM (SELECT doc_id, split, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 40)),
+n AS (SELECT doc_id, split, count(*) AS n FROM r GROUP BY ALL),
+c AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS common FROM r x JOIN r y USING (h) WHERE x.split = 'eval' AND y.split = 'train' AND x.doc_id <> y.doc_id GROUP BY ALL)
+SELECT DISTINCT least(x, y) AS doc_id_a, greatest(x, y) AS doc_id_b FROM c JOIN n a ON a.doc_id = x AND a.split = 'eval' JOIN n b ON b.doc_id = y AND b.split = 'train' WHERE common >= 0.6 * (a.n + b.n - common) - 1e-9"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_token_budget, p1_document_counts, p1_observed, p2_found, p2_pages, p2_rules, p3_found, p3_pages, p4_found, p4_records, p5_assignments, p5_sequences, p6_found, p6_report, p7_ids, p8_mix, p8_shares, p8_fits, p9_found, p9_scores, p9_rates)}
