@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
 from ..functions.text import normalized_paragraphs
+from ..runtime import written
+from .skew import join_counted
 
 # What the hashes of paragraphs and blocks begin with.
 PARAGRAPH_TAG, BLOCK_TAG = "wackywacky-cross-domain-paragraph-v2", "wackywacky-within-domain-block-v2"
@@ -71,6 +73,10 @@ def repeated_blocks(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return by_doc.groupBy("domain", "block").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences")).filter(F.col("documents") >= rules.block_documents)
 
 
+def _total(counted: DataFrame) -> int:
+    return counted.agg(F.sum("occurrences")).first()[0] or 0
+
+
 def removed(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(doc, text, chars_before, chars_after, lines_removed, kept) of every document (doc, domain, text).
 
@@ -78,9 +84,16 @@ def removed(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     small a part; one that loses every line has an empty text.  ``doc`` must be unique.
     """
     flat = docs.select("doc", "domain", normalized_paragraphs(F.coalesce(F.col("text"), F.lit(""))).alias("p"))
-    paragraphs = repeated_paragraphs(docs, rules).select("paragraph")
-    hits = lines_of(docs).filter(F.col("in_para") == 0).join(paragraphs, "paragraph", "left_semi").groupBy("doc").agg(F.collect_set("para_no").alias("bad_paras"))
-    blocks = blocks_of(docs, rules).join(repeated_blocks(docs, rules).select("domain", "block"), ["domain", "block"], "left_semi")
+    spread = F.xxhash64("doc")
+    paragraphs = written(repeated_paragraphs(docs, rules).select("paragraph", "occurrences", F.lit(True).alias("found")), "repeated-paragraphs")
+    first_lines = lines_of(docs).filter(F.col("in_para") == 0).select("doc", "para_no", "paragraph")
+    hits = join_counted(first_lines, paragraphs, ["paragraph"], ["found"], spread, _total(paragraphs), "occurrences").groupBy("doc").agg(F.collect_set("para_no").alias("bad_paras"))
+    # a block's key is one of its own and its domain's, so that hot ones are spread by one value
+    keyed = F.xxhash64("domain", "block")
+    repeated = written(repeated_blocks(docs, rules).select("domain", "block", "occurrences", F.lit(True).alias("found"), keyed.alias("key")), "repeated-blocks")
+    own = blocks_of(docs, rules).withColumn("key", keyed)
+    repeated = repeated.groupBy("key").agg(F.sum("occurrences").alias("occurrences"), F.collect_set(F.struct("domain", "block")).alias("are"))
+    blocks = join_counted(own, repeated, ["key"], ["are"], spread, _total(repeated), "occurrences").filter(F.array_contains("are", F.struct("domain", "block")))
     firsts = blocks.groupBy("doc").agg(F.collect_set("first").alias("firsts"))
     both = flat.join(hits, "doc", "left").join(firsts, "doc", "left")
     # line numbers of a paragraph start at the number of lines before it

@@ -7,8 +7,10 @@ import json
 import os
 import sys
 
+from pyspark.sql import SparkSession
+
 from ..operators import validate as checks
-from ..runtime import session
+from ..runtime import discard_written, session
 from . import pipeline
 from .manifest import write_json_atomic
 
@@ -91,4 +93,7 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    status = main()
+    if spark := SparkSession.getActiveSession():
+        discard_written(spark)
+    sys.exit(status)

@@ -74,8 +74,8 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """Writes a table into the shared folder and reads it from there.
 
     Unlike a cached table it survives the loss of executors, and unlike a plain
-    DataFrame it is computed once.  The folders are left to the owner of the
-    shared folder, as later jobs may still read them.
+    DataFrame it is computed once.  The tables stay until ``discard_written``, as later jobs may
+    still read them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/moenda/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
@@ -86,6 +86,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> bool:
+    """Deletes all tables that this application has written into the shared folder.
+
+    For whoever has read all results: tables that were not read yet can't be read any more.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/moenda/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores before costly work per row, where a scan has few partitions.
 

@@ -249,3 +249,21 @@ def test_validation(spark):
     assert found["surplus_ids"] == 2 and found["bad_length"] == 1
     with pytest.raises(ValueError):
         validate.require_valid(bad)
+
+
+def test_hot_keys_are_spread(spark):
+    from moenda.operators import skew
+
+    rows = spark.createDataFrame([(k, "h" if k % 3 else f"k{k}") for k in range(300)], "i int, k string")
+    counted = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") * 2)
+    for total in (300, 300 * skew.HOT_KEYS):
+        got = skew.join_counted(rows, counted.filter("k <> 'k0'"), ["k"], ["p"], F.xxhash64("i"), total).collect()
+        assert len(got) == 299 and all(r["p"] == (400 if r["k"] == "h" else 2) for r in got)
+
+
+def test_written_tables_can_be_discarded(spark):
+    from moenda import runtime
+
+    kept = runtime.written(spark.range(5), "some")
+    assert kept.count() == 5 and runtime.discard_written(spark) and not runtime.discard_written(spark)
+    assert runtime.written(spark.range(3), "some").count() == 3
