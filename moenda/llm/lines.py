@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_counted
 from ..runtime import spread, written
-from .skew import join_counted
 
 
 def keyed_lines(pages: DataFrame, row: str, document: str, source: str, text: str) -> DataFrame:

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_schema
 from ..functions.hashing import h64, mix64
+from ..operators.skew import join_counted
 from ..runtime import spread, written
-from .skew import join_counted
 
 #: Elements that hold blocks, elements without content or end.
 CONTAINERS = frozenset("body main article section div aside nav header footer form table td th fieldset figure dialog".split())

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix64
+from ..operators.skew import join_counted
 from ..runtime import spread, written
 from . import sketch
-from .skew import join_counted
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _NAME_ENDS = re.compile("[:=]")

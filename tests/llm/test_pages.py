@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from moenda.llm import lines, pages, records, skew
+from moenda.llm import lines, pages, records
+from moenda.operators import skew
 
 SCHEMA = "row_number bigint, id string, domain_id string, url string, title string, text string, html string, extra string"
 
