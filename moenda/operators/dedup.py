@@ -11,12 +11,13 @@ def keep_first(rows: DataFrame, within: list[str], content: Column, order: str)
     """Of rows with the same content within the given columns, the first one in order.
 
     The first is found as a minimum with map-side combining, so a content that any
-    share of the rows hold is no hot partition; rows then prove to be it by their
-    place in the order, which must be unique within the columns.
+    share of the rows hold is no hot partition; rows then prove to be it by content and
+    place in the order.  Rows of the same content and place are kept once; rows without a place or
+    with null content are of no order and left out.
     """
     keyed = rows.withColumn("_content", F.sha2(content, 256))
-    firsts = keyed.groupBy(*within, "_content").agg(F.min(order).alias(order)).drop("_content")
-    return rows.join(firsts, [*within, order], "left_semi")
+    firsts = keyed.groupBy(*within, "_content").agg(F.min(order).alias(order))
+    return keyed.join(firsts, [*within, "_content", order], "left_semi").dropDuplicates([*within, "_content", order]).drop("_content")
 
 
 def duplicates_of(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -138,6 +138,8 @@ def test_packing_equals_loop(spark):
 def test_keep_first(spark):
     rows = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b"), (4, "b"), (5, "")], "i int, t string").withColumn("d", F.lit("x"))
     assert sorted(r["i"] for r in dedup.keep_first(rows, ["d"], F.col("t"), "i").collect()) == [1, 2, 5]
+    odd = rows.unionByName(rows).unionByName(spark.createDataFrame([(1, "c"), (None, "a"), (7, None)], "i int, t string").withColumn("d", F.lit("x")))
+    assert sorted((r["i"], r["t"]) for r in dedup.keep_first(odd, ["d"], F.col("t"), "i").collect()) == [(1, "a"), (1, "c"), (2, "b"), (5, "")]
     with pytest.raises(ValueError):
         dedup.require_unique(rows, ["t"], "text")
 
