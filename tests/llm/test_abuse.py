@@ -80,6 +80,36 @@ def test_label_model_finds_rates_and_dependence():
     assert abuse.label_model({0: 5})[0] < 0.5
 
 
+def test_judgements_correct_what_voters_agree_on():
+    bit = {v: 1 << k for k, v in enumerate(abuse.NAMES)}
+    table = {
+        "": 80_000, "report": 10_000, "report care": 1_994, "report figure": 1_696, "sexual": 243, "insult": 571, "report creature": 834, "insult report": 260, "creature figure": 129, "sexual creature": 180,
+        "insult are_vermin": 87, "insult care": 94, "sexual report": 71, "remove_from": 38, "sexual report care": 40, "sexual sexual_words sexual_offer": 59, "sexual sexual_words": 34, "are_vermin": 65, "insult insult_to_you vulgar": 10,
+    }
+    pattern = {names: sum(bit[n] for n in names.split()) for names in table}
+    counts = {pattern[names]: n for names, n in table.items()}
+    harmless, abusive = pattern["insult are_vermin"], pattern["insult insult_to_you vulgar"]
+    # a harmless word of two classes makes two voters agree, which looks like abuse
+    assert abuse.label_model(counts)[harmless] > 0.9
+    # the first sentence of each judged document, and its judgement; one of either kind is wrong
+    rows = [(harmless, 0, 1)] * 8 + [(harmless, 1, 0)] + [(pattern["insult care"], 0, 1)] * 9 + [(abusive, 1, 0)] * 4 + [(abusive, 0, 1)] + [(pattern["insult"], 0, 1)] * 40 + [(0, 0, 1)] * 400 + [(0, 1, 0)] * 5
+    votes = np.array([v for row in rows for v in (row[0], 0, 0)])
+    judged = abuse.Judged(votes, np.repeat(np.arange(len(rows)), 3), np.array([row[1:] for row in rows]))
+    post = abuse.label_model(counts, judged)
+    assert post[harmless] < 0.1 and post[pattern["insult care"]] < 0.1 and post[abusive] > 0.9 and post[0] < 0.001
+
+
+def test_judged_documents_reach_the_label_model(spark, monkeypatch):
+    given, made = [], abuse.label_model
+    monkeypatch.setattr(abuse, "label_model", lambda counts, judged=None: given.append(judged) or made(counts, judged))
+    documents = spark.createDataFrame([(1, "seu idiota. tudo bem"), (2, "bom dia"), (3, "seu babaca")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, "abusive"), (1, "hateful"), (2, "clean")], "doc_id bigint, label string")
+    sentences = abuse.sentences_of(documents, ["doc_id"])
+    abuse.fitted(sentences, labels)
+    abuse.fitted(sentences, labels.filter("false"))
+    assert sorted(given[0].judged.tolist()) == [[0, 1], [2, 0]] and len(given[0].votes) == len(given[0].document) == 3 and given[1] is None
+
+
 def test_held_out(spark, data):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/content_label.parquet")
